@@ -37,5 +37,5 @@ def words(one_spaced: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     """The number of maximal runs of characters that aren't white space (null: 0), without making an array."""
-    inner = F.btrim(F.coalesce(text.cast("string"), F.lit("")), F.lit(SPACES))
-    return F.when(inner == "", F.lit(0)).otherwise(F.regexp_count(inner, F.lit(SPACE_CLASS)) + 1).cast("long")
+    inner = single_spaced(spaced(text))
+    return F.when(inner == "", F.lit(0)).otherwise(F.octet_length(inner) - F.octet_length(F.replace(inner, F.lit(" "))) + 1).cast("long")
