@@ -35,3 +35,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_
        base_failed, NOT base_failed AND rate <= 0.75 AS kept
 FROM f JOIN d ON f.source IS NOT DISTINCT FROM d.source
 """
+
+#: Shingle sets, links by an inverted index, components by recursion.
+JACCARD_COMPONENTS = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END, ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 WHEN len(ws) < 5 THEN 2 ELSE len(ws) - 3 END)) AS i FROM w)
+), k AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS MATERIALIZED (
+    SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2) p
+    JOIN k x ON x.doc_id = u JOIN k y ON y.doc_id = v WHERE 100 * common >= 80 * (x.n + y.n - common)
+), r AS (
+    SELECT doc_id, doc_id AS c FROM documents
+    UNION
+    SELECT e.v, r.c FROM r JOIN e ON e.u = r.doc_id WHERE r.c < e.v
+), m AS (
+    SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id
+)
+SELECT documents.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id LEFT JOIN m ON m.doc_id = documents.doc_id
+"""

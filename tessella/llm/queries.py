@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, oracles, quality, scratch, tokencount, urls, wavelet
+from . import bpe, chat, mixing, oracles, paritysketch, quality, scratch, tokencount, urls, wavelet
 from .common import table
 
 #: The rules of op9, and a conversation that says the template's own control strings.
@@ -28,6 +28,10 @@ def op2_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(files)
 
 
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paritysketch.similar_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.host_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -64,6 +68,7 @@ def op10_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet_files": op2_wavelet_files,
+    "op3_parity_join": op3_parity_join,
     "op4_host_quality": op4_host_quality,
     "op5_transducer_bpe": op5_transducer_bpe,
     "op6_budgeted_windows": op6_budgeted_windows,
@@ -73,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_parity_join": oracles.JACCARD_COMPONENTS,
     "op4_host_quality": oracles.HOST_QUALITY,
 }
