@@ -11,10 +11,10 @@ partner could lie there. All sets rank their blocks alike, those with many bits
 two partners agree on one of the d + 1 that each ranks first, and only those are entered. Equal sets are entered
 once for each part of the input, and are one node from then on.
 
-A node meets the others of a block in three rounds, each only with what is still in another component: the partner
-with which it shares most blocks; the smallest node of each block; everything that is left. Every candidate pair is
-verified on the exact sets, so no link between different components is lost and a block of n near copies costs about n
-verifications instead of n squared.
+A node meets the others of a block in rounds, each only with what is still in another component: the partner with
+which it shares most blocks; the smallest node of each block; the nearest by sketch; everything that the sketches
+allow. Every candidate pair is verified on the exact sets, so no link between different components is lost, and a block
+of n near copies costs about n verifications instead of n squared.
 """
 
 from __future__ import annotations
@@ -294,6 +294,69 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, text_col: str, id_col: str) ->
     return made.dropDuplicates(["node"])
 
 
+def _across(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (u, v) of a block that are in different components and near enough by size and sketch.
+
+    ``placed`` has g, node, root, size and the sketch. With ``nearest`` a node names only the nearest it could be linked to. All
+    sketches of a block are compared in memory, but only pairs that pass become rows.
+    """
+    words = [f"s{i}" for i in range(SKETCH_WORDS)]
+
+    def pairs(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, root, size = (block.column(c).to_numpy() for c in ("node", "root", "size"))
+        sketch = [block.column(c).to_numpy().view(np.uint64) for c in words]
+        found_u, found_v = [], []
+        for a in range(0, len(node), 512):
+            rows = slice(a, a + 512)
+            fits = root[rows, None] != root[None, :]
+            fits &= 100 * np.minimum(size[rows, None], size[None, :]) >= percent * np.maximum(size[rows, None], size[None, :])
+            if not fits.any():
+                continue
+            distance = np.zeros(fits.shape, np.int16)
+            for word in sketch:
+                distance += np.bitwise_count(word[rows, None] ^ word[None, :])
+            fits &= distance <= most_different(size[rows, None], size[None, :], percent)
+            if nearest:
+                distance[~fits] = np.iinfo(np.int16).max
+                some = np.flatnonzero(fits.any(axis=1))
+                found_u.append(node[a + some])
+                found_v.append(node[distance[some].argmin(axis=1)])
+            else:
+                i, j = np.nonzero(fits)
+                found_u.append(node[a + i])
+                found_v.append(node[j])
+        if not found_u:
+            return node[:0], node[:0]
+        u, v = np.concatenate(found_u), np.concatenate(found_v)
+        return np.maximum(u, v), np.minimum(u, v)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(ready: pa.Table) -> pa.RecordBatch:
+            g = ready.column("g").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist() + [len(g)]
+            both = [pairs(ready.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            u, v = (np.concatenate([x[k] for x in both]) for k in (0, 1))
+            unique = np.unique(np.stack([u, v], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(unique[:, 0].copy()), pa.array(unique[:, 1].copy())], ["u", "v"])
+
+        held: pa.Table | None = None  # the block that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+            g = held.column("g").to_numpy()
+            begin = int(np.searchsorted(g, g[-1]))
+            if begin:
+                yield found(held.slice(0, begin))
+                held = held.slice(begin)
+        if held is not None:
+            yield found(held)
+
+    rows = placed.select("g", "node", "root", "size", *words).repartition("g").sortWithinPartitions("g", "node")
+    return rows.mapInArrow(run, "u long, v long")
+
+
 def _relabelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components, with their components cu and cv."""
     side = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
@@ -336,16 +399,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _relabelled(_verified(tried, sets, percent), roots)
     roots = _merged(links, roots)
 
-    # what is left: blocks whose nodes are still in different components; all pairs across these
+    # what is left: blocks whose nodes are still in different components; first the nearest of each node, then all
     exploded = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
-    placed = exploded.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
-    placed = scratch.written(placed.join(mixed, "g"), "mixed")
-    other = placed.select("g", F.col("node").alias("v"), F.col("root").alias("cv"))
-    across = placed.select("g", F.col("node").alias("u"), F.col("root").alias("cu")).join(other, "g").where("cu > cv")
-    across = across.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(stars.select("u", "v"), ["u", "v"], "left_anti")
-    links = _relabelled(_verified(across, sets, percent), roots)
-    roots = _merged(links, roots)
+    brief = sets.select("node", "size", *[f"s{i}" for i in range(SKETCH_WORDS)])
+    for nearest in (True, False):
+        placed = exploded.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
+        across = _across(placed.join(mixed, "g").join(brief, "node"), percent, nearest).distinct()
+        links = _relabelled(_verified(across.join(stars.select("u", "v"), ["u", "v"], "left_anti"), sets, percent), roots)
+        roots = _merged(links, roots)
 
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

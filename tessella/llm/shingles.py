@@ -15,6 +15,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEED = np.uint64(0xD6E8FEB86659FD93)
+_LENGTHS = np.arange(64, dtype=np.uint64) * _SEED  # tells short sequences from others
 
 
 @functools.cache
@@ -74,8 +75,8 @@ def shingle_sets(column: pa.Array, size: int = 5, at_once: int = 1 << 21) -> Ite
                 found = np.sort(mixed[a : b - size + 1])
                 yield found if len(found) < 2 else found[np.concatenate([[True], found[1:] != found[:-1]])]
             elif b > a:
-                short = (words[a:b] * factor[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * _SEED
-                yield textscan.finalised(np.array([short], np.uint64))
+                short = (words[a:b] * factor[: b - a]).sum(dtype=np.uint64, keepdims=True)
+                yield textscan.finalised(short + _LENGTHS[b - a])
             else:
                 yield np.zeros(0, np.uint64)
         row = to
@@ -84,5 +85,5 @@ def shingle_sets(column: pa.Array, size: int = 5, at_once: int = 1 << 21) -> Ite
 def set_identity(hashes: np.ndarray) -> int:
     """A 63-bit name for a set of hashes: equal sets have equal names; two of a billion different sets share one with a probability of 5 %."""
     twice = textscan.finalised(hashes ^ _SEED)
-    both = textscan.finalised(np.array([hashes.sum(dtype=np.uint64) ^ (twice.sum(dtype=np.uint64) * _SEED)], np.uint64))
+    both = textscan.finalised(hashes.sum(dtype=np.uint64, keepdims=True) ^ (twice.sum(dtype=np.uint64, keepdims=True) * _SEED))
     return int(both[0] >> np.uint64(1))
