@@ -97,7 +97,7 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 20240229, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row for each row of ``docs``: the id, ``size`` (words), ``source_size``, ``target``, ``copies``, ``taken``, and the columns ``keep``.
+    """One row for each row of ``docs``: the id, ``size`` (words), ``source_size``, ``target``, ``copies``, ``taken``, and ``row``, a structure of the columns named in ``keep``.
 
     ``copies`` says how often the mix holds the document, ``taken`` = ``copies`` * ``size``. ``most`` limits a source to
     that many times its size; no document is taken more often than that, rounded up.
@@ -110,15 +110,15 @@ def mix(
     text = F.col(text_col)
     identity = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit(""))
     key = sampling_key([F.col(id_col), text], quality_weight(text), seed)
-    facts = docs.select(F.struct(F.col(id_col).alias(id_col), *[F.col(c) for c in keep]).alias("_row"), identity.alias("_id"), F.col(source_col).cast("string").alias("_source"), count_words(text).alias("size"), key.alias("_key"))
+    facts = docs.select(F.col(id_col).alias("_doc"), *([F.struct(*keep).alias("row")] if keep else []), identity.alias("_id"), F.col(source_col).cast("string").alias("_source"), count_words(text).alias("size"), key.alias("_key"))
     if keep:  # texts are read a second time rather than stored a second time
-        slim = scratch.written(facts.drop("_row"), "sizes")
+        slim = scratch.written(facts.drop("row", "_doc"), "sizes")
     else:
         facts = scratch.written(facts, "sizes")
-        slim = facts.drop("_row")
+        slim = facts.drop("_doc")
     sizes = slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     cuts = scratch.written(_cuts(slim, targets(sizes, weights, share, most)), "cuts")
     out = facts.join(cuts, "_id")
     copies = F.col("_epochs") + (F.col("_key") < F.col("_cut")).cast("long")
     copies = F.least(copies, F.lit(math.ceil(most)).cast("long"))
-    return out.select("_row.*", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select(F.col("_doc").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["row"] if keep else []))

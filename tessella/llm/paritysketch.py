@@ -415,3 +415,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = table.join(named, F.col("node") == F.col("_n"), "left")
     whose = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "node", whose.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that a link, direct or not, joins to one with a smaller id; all its columns.
+
+    Rows without shingles and rows with null ids stay. Of repeated rows of an id that stays, one does.
+    """
+    verdict = scratch.written(similar_components(docs, id_col, text_col, percent).select("doc_id", "component_id"), "verdicts")
+    leave = verdict.where("doc_id <> component_id").select("doc_id").distinct()
+    again = verdict.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+    def against(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        named = ids.select(F.col("doc_id").alias("_left"))
+        return rows.join(F.broadcast(named) if ids.count() <= BROADCAST_ROWS else named, rows[id_col] == F.col("_left"), how)
+
+    stay = against(docs, leave, "left_anti")
+    if again.isEmpty():
+        return stay
+    return against(stay, again, "left_anti").unionByName(against(stay, again, "left_semi").dropDuplicates([id_col]))

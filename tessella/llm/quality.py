@@ -7,6 +7,7 @@ bad pages is not condemned like one with two thousand. The verdict on a host is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -102,18 +103,19 @@ def with_measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     return step4.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
 
 
-def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: HostRules = HostRules()) -> DataFrame:
+def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: HostRules = HostRules(), keep: Sequence[str] = ()) -> DataFrame:
     """One row for each row of ``docs``: the measures, ``base_failed``, the host's counts and rates, ``kept``.
 
     Output columns: the id, ``host``, the measures of :func:`with_measures`, ``base_failed``, ``rule_failed`` (any rule,
-    the host-level ones included), ``host_docs``, ``host_failed``, ``host_rate`` (shrunk), ``kept``.
+    the host-level ones included), ``host_docs``, ``host_failed``, ``host_rate`` (shrunk), ``kept``, and ``row``, a structure of the columns named in ``keep``.
 
     * null, empty and blank texts: no words, so they fail by themselves;
     * null hosts: one host of their own; null ids and repeated rows: kept as they are, row for row;
     * an empty table: an empty result; other columns are not read, so their names can't clash.
     """
-    source = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
-    base = with_measures(source, ["_id", "_host"], "_text")
+    source = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.col(text_col).alias("_text"), *([F.struct(*keep).alias("row")] if keep else []))
+    carried = ["row"] if keep else []
+    base = with_measures(source, ["_id", "_host", *carried], "_text")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     extra = (100 * F.col("n_symbols") > rules.max_symbol_percent * F.col("word_chars")) | (100 * F.col("n_dup_lines") > rules.max_dup_line_percent * F.col("n_lines"))
     # the texts are measured once; what follows reads a few numbers a document
@@ -121,29 +123,27 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     hosts = judged.groupBy("_host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("rule_failed").cast("long")).alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(
-        F.sum("host_docs").alias("_n"), F.sum("host_failed").alias("_f"), F.count(F.lit(1)).alias("_h"),
-        F.avg(rate).alias("_m"), F.var_pop(rate).alias("_v"),
-    ).select(*_beta())
-    verdicts = hosts.crossJoin(F.broadcast(prior)).select(  # one row of three numbers
+    known = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("variance")).first()  # two numbers for all hosts
+    alpha, beta = beta_prior(known.mean, known.variance)
+    verdicts = hosts.select(
         F.col("_host").alias("_h2"), "host_docs", "host_failed",
-        ((F.col("host_failed") + F.col("_alpha")) / (F.col("host_docs") + F.col("_alpha") + F.col("_beta"))).alias("host_rate"),
+        ((F.col("host_failed") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta))).alias("host_rate"),
     )
     joined = judged.join(verdicts, F.col("_host").eqNullSafe(F.col("_h2")), "left")
     return joined.select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"),
         "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed",
         "host_docs", "host_failed", "host_rate",
-        (~F.col("base_failed") & (F.col("host_rate") <= rules.max_host_rate)).alias("kept"),
+        (~F.col("base_failed") & (F.col("host_rate") <= rules.max_host_rate)).alias("kept"), *carried,
     )
 
 
-def _beta() -> list[Column]:
+def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
     """alpha and beta of the prior from the mean and variance of the hosts' rates.
 
     Where the variance tells nothing (one host, equal rates) the prior is one document at the mean rate.
     """
-    mean = F.least(F.greatest(F.coalesce(F.col("_m"), F.lit(0.5)), F.lit(1e-3)), F.lit(1 - 1e-3))
-    strength = F.when(F.col("_v") > 0, mean * (1 - mean) / F.col("_v") - 1).otherwise(F.lit(1.0))
-    strength = F.least(F.greatest(F.coalesce(strength, F.lit(1.0)), F.lit(1.0)), F.lit(1e6))
-    return [(mean * strength).alias("_alpha"), ((1 - mean) * strength).alias("_beta")]
+    mean = min(max(0.5 if mean is None else mean, 1e-3), 1 - 1e-3)
+    strength = mean * (1 - mean) / variance - 1 if variance else 1.0
+    strength = min(max(strength, 1.0), 1e6)
+    return mean * strength, (1 - mean) * strength

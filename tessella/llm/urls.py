@@ -66,7 +66,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
 
     ``verdict`` is the rule's, else ``block`` for pages of a rejected template, else ``allow``.
 
-    * null urls and urls without ``://``: empty host and path, template ``/**``-free and empty, judged like any other;
+    * null urls and urls without ``://``: empty host and path, an empty template, judged like any other;
     * null ids and repeated rows: kept, row for row, and counted each; an empty table: an empty result;
     * without labels on a host its templates have the share of all labels, without any label 0: ``allow``;
     * other columns are not read, so their names can't clash.
@@ -87,10 +87,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
 
     counts = level.groupBy("host", "template").agg(F.sum("_label").alias("_k"), F.count("_label").alias("_m"))
     hosts = counts.groupBy(F.col("host").alias("_h")).agg(F.sum("_k").alias("_hk"), F.sum("_m").alias("_hm"))
-    everything = hosts.agg(F.coalesce(F.try_divide(F.sum("_hk").cast("double"), F.sum("_hm")), F.lit(0.0)).alias("_all"))
-    hosts = hosts.crossJoin(F.broadcast(everything))  # one row of one number
+    known = hosts.agg(F.sum("_hk").alias("k"), F.sum("_hm").alias("m")).first()  # two numbers for all hosts
+    overall = F.lit(known.k / known.m if known.m else 0.0)
     smooth = lambda k, m, prior: (F.coalesce(k, F.lit(0)) + prior * settings.strength) / (m + settings.strength)
-    hosts = hosts.select("_h", smooth(F.col("_hk"), F.col("_hm"), F.col("_all")).alias("_prior"))
+    hosts = hosts.select("_h", smooth(F.col("_hk"), F.col("_hm"), overall).alias("_prior"))
     shares = counts.join(hosts, F.col("host") == F.col("_h")).select(
         F.col("host").alias("_h"), F.col("template").alias("_t"), smooth(F.col("_k"), F.col("_m"), F.col("_prior")).alias("blocked_share")
     )
