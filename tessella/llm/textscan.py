@@ -20,7 +20,10 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Code points that are worked on at once; a longer text is cut between two words.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 18
+#: The characters that stand for the bytes 0 to 255 in byte-level vocabularies: itself if printable, else the next from 256 on.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _BASE, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _WRAP = (1 << 64) - 1
 
@@ -269,7 +272,7 @@ class Table:
 class WordStore:
     """A worker's cache of pre-tokens with their ids; it starts anew when it holds ``most`` of them."""
 
-    def __init__(self, tokenizer, most: int = 1 << 20):
+    def __init__(self, tokenizer, most: int = 1 << 19):
         self.tokenizer, self.most = tokenizer, most
         self._clear()
 
@@ -297,7 +300,8 @@ class WordStore:
         return out
 
     def _add(self, keys: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        merged = self.tokenizer.model.tokenize  # the words are pre-tokens already: only their bytes are left to merge
+        found = [[t.id for t in merged(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(BYTE_CHARS))] for w in words]
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         total = int(lengths.sum())
         flat = np.fromiter((i for ids in found for i in ids), np.int32, total)
@@ -339,6 +343,12 @@ def loaded(path: str):
     return tokenizer
 
 
+@functools.cache
+def store(path: str) -> WordStore:
+    """The process's cache for a file: a worker that runs several tasks merges a pre-token once."""
+    return WordStore(loaded(path))
+
+
 @functools.cache
 def scheme(path: str) -> Scheme:
     return Scheme(path)

@@ -52,7 +52,7 @@ def count_tokens(
         scheme, tokenizer = textscan.scheme(path), textscan.loaded(path)
         tier1 = textscan.Table()
         tier1.bits, tier1.keys, tier1.values = shared.value
-        tier2 = textscan.WordStore(tokenizer)
+        tier2 = textscan.store(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             special = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if scheme.has_special(t)}

@@ -194,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, library = textscan.scheme(tokenizer), textscan.loaded(tokenizer)
         bits = max(library.get_vocab_size(with_added_tokens=True) - 1, end_id).bit_length()
-        store = textscan.WordStore(library)
+        store = textscan.store(tokenizer)
         kind = np.uint16 if bits <= 16 else np.uint32
         part, seq = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
