@@ -168,9 +168,11 @@ def compiled(words: list[str], path: str) -> Lexicon:
     return Lexicon.compile(words, [e.ids for e in found])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS, decoded_col: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: the id and ``ids``, as the library encodes the whole text without added tokens.
 
+    With ``decoded_col`` also the text that the ids stand for, as :func:`decode` makes it, in the same workers.
+
     * null and empty texts: no ids; very long texts: worked on in pieces cut between two pre-tokens;
     * texts with the tokenizer's special strings are given to the library whole;
     * null ids and repeated rows: kept, row for row; an empty table: an empty result; other columns are not read.
@@ -180,7 +182,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scheme, library = textscan.scheme(path), textscan.loaded(path)
-        lexicon, store = Lexicon.mapped(shared.value), textscan.WordStore(library)
+        lexicon, store = Lexicon.mapped(shared.value), textscan.store(path)
+        meaning = token_bytes(path) if decoded_col else None
 
         def ids_of(tokens: textscan.Tokens) -> tuple[np.ndarray, np.ndarray]:
             cps = np.frombuffer(tokens.whole.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -203,7 +206,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             def made() -> pa.RecordBatch:
                 values = np.concatenate(held) if held else np.zeros(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                return pa.RecordBatch.from_arrays([batch.column(0).slice(begin, done - begin), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], [id_col, "ids"])
+                columns = [batch.column(0).slice(begin, done - begin), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
+                if meaning:
+                    columns.append(pa.array(decoded(values, sizes, *meaning), pa.string()))
+                return pa.RecordBatch.from_arrays(columns, names)
 
             for pieces, ends in textscan.grouped(scheme.normalised("" if i in special else t) for i, t in enumerate(texts)):
                 flat, sums = ids_of(scheme.tokens(pieces))
@@ -224,21 +230,17 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield made()
 
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-
-
-def byte_of() -> dict[str, int]:
-    """The byte each character of a byte-level vocabulary stands for: itself if printable, else the next from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    kinds = [rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    kinds += [T.StructField(decoded_col, T.StringType())] if decoded_col else []
+    names = [k.name for k in kinds]
+    return rows.mapInArrow(run, T.StructType(kinds))
 
 
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all tokens one after another, and each id's offset and length."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    byte = byte_of()
+    byte = {c: b for b, c in textscan.BYTE_CHARS.items()}
     table = {i: bytes(byte[c] for c in token) for token, i in spec["model"]["vocab"].items()}
     table |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
     parts = [table.get(i, b"") for i in range(max(table) + 1)]
@@ -246,6 +248,23 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
+def decoded(ids: np.ndarray, counts: list[int], flat: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> list[str]:
+    """The texts of documents whose ids follow one another, ``counts`` of them each; unknown ids stand for nothing."""
+    out, at = [], 0
+    upto = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 18), "right")) - 1)
+        values = ids[upto[at] : upto[to]].astype(np.int64)
+        known = (values >= 0) & (values < len(lengths))
+        values = np.where(known, values, 0)
+        size = np.where(known, lengths[values], 0)
+        data = textscan.gathered(flat, offsets[values], size).tobytes()
+        cuts = np.concatenate([[0], np.cumsum(size)])[upto[at : to + 1] - upto[at]].tolist()
+        out += [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+        at = to
+    return out
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns of ``encoded`` and the text its ids stand for, special tokens included; bytes that aren't UTF-8 become U+FFFD.
 
@@ -254,18 +273,12 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, offsets, lengths = token_bytes(path)
+        meaning = token_bytes(path)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 column = part.column(at)
-                values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                known = (values >= 0) & (values < len(lengths))
-                values = np.where(known, values, 0)
-                size = np.where(known, lengths[values], 0)
-                data = textscan.gathered(flat, offsets[values], size).tobytes()
-                counts = [0 if n is None else n for n in column.value_lengths().to_pylist()]
-                upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].tolist()
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(upto, upto[1:], strict=False)]
+                counts = [n or 0 for n in column.value_lengths().to_pylist()]
+                texts = decoded(column.flatten().to_numpy(zero_copy_only=False), counts, *meaning)
                 texts = [t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 

@@ -43,7 +43,7 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    done = bpe.encode(table(spark, sf_dir, "documents"), path, decoded_col="decoded")
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
