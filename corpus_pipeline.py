@@ -42,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, with a digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    done = bpe.decode(bpe.encode(docs, path), path)
+    done = bpe.encode(docs, path, decoded_col="decoded")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
