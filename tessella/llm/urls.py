@@ -68,7 +68,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
 
     * null urls and urls without ``://``: empty host and path, an empty template, judged like any other;
     * null ids and repeated rows: kept, row for row, and counted each; an empty table: an empty result;
-    * without labels on a host its templates have the share of all labels, without any label 0: ``allow``;
+    * without labels on a host its templates have the share of all labels, without any label 0; a template that holds
+      no label itself is never rejected;
     * other columns are not read, so their names can't clash.
     """
     host, path = host_and_path(F.col(url_col))
@@ -92,11 +93,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     smooth = lambda k, m, prior: (F.coalesce(k, F.lit(0)) + prior * settings.strength) / (m + settings.strength)
     hosts = hosts.select("_h", smooth(F.col("_hk"), F.col("_hm"), overall).alias("_prior"))
     shares = counts.join(hosts, F.col("host") == F.col("_h")).select(
-        F.col("host").alias("_h"), F.col("template").alias("_t"), smooth(F.col("_k"), F.col("_m"), F.col("_prior")).alias("blocked_share")
+        F.col("host").alias("_h"), F.col("template").alias("_t"), smooth(F.col("_k"), F.col("_m"), F.col("_prior")).alias("blocked_share"), (F.col("_m") > 0).alias("_seen")
     )
     rows = level.join(shares, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
     by_rule = F.when(F.col("_label") == 1, "block").when(F.col("_label") == 0, "allow")
-    by_tree = F.when(F.col("blocked_share") >= settings.reject, "block").otherwise("allow")
+    by_tree = F.when((F.col("blocked_share") >= settings.reject) & F.col("_seen"), "block").otherwise("allow")
     return rows.select(F.col("_page").alias(id_col), "host", "path", "rule", "template", "blocked_share", F.coalesce(by_rule, by_tree).alias("verdict"))
 
 
