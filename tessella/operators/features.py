@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions import similarity
-from tessella.functions.text import first_number, jaccard
+from tessella.functions.text import jaccard
 
 #: Inputs that each side of a pair brings, prefixed a_ and b_.
 ENTITY = [

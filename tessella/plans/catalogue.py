@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import similarity
 from tessella.functions import text as T
+from tessella.functions.fold import unicode_fold
 from tessella.operators import blocking_metrics as B
 from tessella.operators import candidates as C
+from tessella.operators import cleaning, features, lookup, model, profile, quality, sampling
 from tessella.operators import decision as D
-from tessella.operators import lookup, profile, quality, sampling
 from tessella.sources import tables
 
 from .views import duck, table, view
@@ -589,3 +591,107 @@ def key_rule(spark: SparkSession, sf: str) -> DataFrame:
     right = table(spark, sf, "customer").selectExpr("c_custkey", f"{key} AS key", "explode(array('F', 'O', 'P')) AS country").selectExpr("concat(c_custkey, '|', country) AS id", "country", "key")
     true = orders.selectExpr("CAST(o_orderkey AS STRING) AS s1_id", "concat(o_custkey, '|', o_orderstatus) AS cand_id")
     return rounded(profile.key_rule(left, right, true))
+
+
+# ------------------------------------------------------------------------------------------------ cleaning, features, model
+
+
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "ent").select("entity_id", "doc_id", "country", F.col("name").alias("business_name"), F.col("address").alias("business_address"))
+
+
+def _entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned records with how many of their country's queries share their name: queries and pool."""
+    clean = cleaning.clean_addresses(cleaning.clean_names(_raw(spark, sf))).withColumn("addr_state_canon", F.col("addr_state_raw"))
+    s1, pool = clean.where(F.startswith("entity_id", F.lit("S1-"))), clean.where(~F.startswith("entity_id", F.lit("S1-")))
+    chains = s1.groupBy("country", "name_core").agg(F.count(F.lit(1)).alias("chain_n"))
+    columns = ["entity_id", "country", *features.ENTITY]
+    return s1.join(chains, ["country", "name_core"], "left").select(*columns), pool.join(chains, ["country", "name_core"], "left").select(*columns)
+
+
+def _featured(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates by rare n-grams from either side, with their features."""
+    q, p = _weighted(spark, sf)
+    forward = C.retrieve(q, p, 20, 5).select("s1_id", "cand_id", F.col("rank").alias("p1_rank"), "cosine", F.lit(None).cast("int").alias("p1_rank_rev"))
+    reverse = C.reverse_retrieve(q, p, 10, 3).select("s1_id", "cand_id", F.lit(None).cast("int").alias("p1_rank"), "cosine", F.col("rank_rev").alias("p1_rank_rev"))
+    pairs = forward.unionByName(reverse).groupBy("s1_id", "cand_id").agg(F.max("p1_rank").alias("p1_rank"), F.max("p1_rank_rev").alias("p1_rank_rev"), F.max("cosine").alias("p1_cos"))
+    flags = {"in_p1": F.col("p1_rank").isNotNull(), "in_p4": F.col("p1_rank_rev").isNotNull(), "in_p2": F.lit(False), "in_p3": F.lit(False)}
+    pairs = pairs.withColumns({**flags, "p2_cos": F.col("p1_cos"), "p2_rank": F.lit(None).cast("int")})
+    s1, pool = _entities(spark, sf)
+    return features.pair_features(pairs.join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id"), s1, pool)
+
+
+@query("unicode_fold")
+def unicode_fold_query(spark: SparkSession, sf: str) -> DataFrame:
+    return _raw(spark, sf).select("entity_id", unicode_fold(F.col("business_name")).alias("folded"))
+
+
+@query("clean_names")
+def clean_names(spark: SparkSession, sf: str) -> DataFrame:
+    out = cleaning.clean_names(_raw(spark, sf))
+    return out.select("entity_id", "name_clean", "name_core", "legal_suffix_class", "name_script", "name_nospace", F.array_join("legal_families", ",").alias("legal_families"))
+
+
+@query("clean_addresses")
+def clean_addresses(spark: SparkSession, sf: str) -> DataFrame:
+    out = cleaning.clean_addresses(_raw(spark, sf))
+    return out.select("entity_id", "addr_clean", "addr_std", "addr_core", "addr_house_number", "addr_unit", "addr_landmark", "addr_state_raw", F.array_join("addr_numbers", ",").alias("addr_numbers"))
+
+
+@query("jaro_winkler", duck("ent") + PARTNERS + f" SELECT s1_id, cand_id, round(CAST(jaro_winkler_similarity(regexp_replace({BASIC.format('a')}, '[^\\x00-\\x7F]', '', 'g'), regexp_replace({BASIC.format('b')}, '[^\\x00-\\x7F]', '', 'g')) AS DOUBLE), 4) AS jw FROM pr")
+def jaro_winkler(spark: SparkSession, sf: str) -> DataFrame:
+    """On the ASCII characters, as the oracle compares bytes."""
+    ascii_ = lambda c: F.regexp_replace(T.basic_norm(F.col(c)), r"[^\x00-\x7F]", "")
+    sims = similarity.name_similarities(ascii_("a"), ascii_("b"))
+    return _partners(spark, sf).withColumn("x", sims).select("s1_id", "cand_id", F.round(F.col("x.jw").cast("double"), 4).alias("jw"))
+
+
+@query("token_set_ratio")
+def token_set_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    return _partners(spark, sf).withColumn("x", similarity.name_similarities(T.basic_norm(F.col("a")), T.basic_norm(F.col("b")))).select("s1_id", "cand_id", F.round(F.col("x.tsr").cast("double"), 4).alias("tsr"))
+
+
+TOKENS = "list_distinct(list_filter(string_split({}, ' '), lambda t: t <> ''))"
+
+
+@query("pair_set_features", duck("ent") + PARTNERS + f""", x AS (SELECT s1_id, cand_id, {TOKENS.format(BASIC.format('a'))} AS ta, {TOKENS.format(BASIC.format('b'))} AS tb, {BASIC.format('a')} = {BASIC.format('b')} AS eq FROM pr)
+    SELECT s1_id, cand_id, round(len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))), 4) AS name_tok_jac, CAST(len(tb) - len(list_intersect(ta, tb)) AS INTEGER) AS name_tok_added,
+    CAST(len(ta) - len(list_intersect(ta, tb)) AS INTEGER) AS name_tok_dropped, CAST(len(ta) AS INTEGER) AS a_name_ntok, CAST(len(tb) AS INTEGER) AS b_name_ntok, CAST(eq AS INTEGER) AS name_core_eq FROM x""")
+def pair_set_features(spark: SparkSession, sf: str) -> DataFrame:
+    e = view(spark, sf, "ent").select("entity_id", "country", T.basic_norm(F.col("name")).alias("name_core"))
+    missing = {c: F.lit(None).cast("string") for c in ("name_nospace", "name_domain_stem", "name_script", "addr_core", "addr_house_number", "addr_state_canon")}
+    lists = {c: F.lit(None).cast("array<string>") for c in ("legal_families", "addr_numbers")}
+    e = e.withColumns({**missing, **lists, "name_has_nonlatin": F.lit(False), "chain_n": F.lit(0)})
+    both = features.attach(_partners(spark, sf).select("s1_id", "cand_id"), e, e)
+    made = features.name_features()
+    return both.select(
+        "s1_id", "cand_id", F.round(made["name_tok_jac"].cast("double"), 4).alias("name_tok_jac"),
+        *[made[c].cast("int").alias(c) for c in ("name_tok_added", "name_tok_dropped", "a_name_ntok", "b_name_ntok", "name_core_eq")],
+    )
+
+
+@query("pair_window_features", duck("pairs") + """SELECT s1_id, cand_id, CAST(count(*) OVER w AS INTEGER) AS s1_n_cands, CAST(rank() OVER (PARTITION BY s1_id ORDER BY p1_cos DESC) AS INTEGER) AS p1_cos_rank_s1, round(max(p1_cos) OVER w - p1_cos, 4) AS p1_cos_gap_s1,
+    coalesce(p1_rank, 51) AS p1_rank, coalesce(p2_rank, 21) AS p2_rank, coalesce(p1_rank_rev, 11) AS p1_rank_rev, CAST(coalesce(p1_rank = 1, false) AND coalesce(p1_rank_rev = 1, false) AS INTEGER) AS mutual_best FROM pairs WINDOW w AS (PARTITION BY s1_id)""")
+def pair_window_features(spark: SparkSession, sf: str) -> DataFrame:
+    p = view(spark, sf, "pairs").withColumns({"in_p1": F.col("p1_rank").isNotNull(), "in_p2": F.col("p2_rank").isNotNull(), "in_p4": F.col("p1_rank_rev").isNotNull()})
+    made = features.blocking_features()
+    wanted = ["s1_n_cands", "p1_cos_rank_s1", "p1_rank", "p2_rank", "p1_rank_rev", "mutual_best"]
+    return p.select("s1_id", "cand_id", *[made[c].cast("int").alias(c) for c in wanted], F.round(made["p1_cos_gap_s1"].cast("double"), 4).alias("p1_cos_gap_s1"))
+
+
+@query("pair_features")
+def pair_features(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_featured(spark, sf))
+
+
+@query("gbdt_scores")
+def gbdt_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A small booster on the labels table: which documents are of quality, from a few measures of their text."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = d.select(F.col("doc_id").cast("string").alias("s1_id"), F.lit("").alias("cand_id"), F.col("quality").alias("label"), F.length(text).alias("chars"), F.size(F.split(text, " ")).alias("words"),
+                    F.size(F.array_distinct(F.split(text, " "))).alias("types"), F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("symbols"), F.size(F.split(text, "\n")).alias("lines"))
+    columns = ["chars", "words", "types", "symbols", "lines"]
+    held = sampling.is_validation(F.col("s1_id"))
+    fitted = model.train(rows.where(~held), columns, trees=5, depth=3)
+    return rounded(model.score(fitted, rows, columns, ["s1_id"]))
