@@ -71,7 +71,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumn("blocked_share", F.round("blocked_share", 6))
 
 
 def op10_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_parity_join": oracles.JACCARD_COMPONENTS,
     "op4_host_quality": oracles.HOST_QUALITY,
+    "op6_budgeted_windows": oracles.CHAT_WINDOWS,
+    "op9_url_templates": oracles.URL_TEMPLATES,
 }
