@@ -30,14 +30,14 @@ class Settings:
     shortlist: rows of a block that are scored exactly for each query.
     """
 
-    codebooks: int = 8
+    codebooks: int = 12
     codewords: int = 256
     beam: int = 4
     sample: int = 16384
     rounds: int = 6
     block_rows: int = 8192
     block_queries: int = 1024
-    shortlist: int = 256
+    shortlist: int = 512
 
 
 class Quantiser:
