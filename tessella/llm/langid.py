@@ -88,6 +88,11 @@ def _by_text(space: Space, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return vectors, has
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches whose documents' vectors are held at once."""
+    return (batch.slice(i, rows) for batch in batches for i in range(0, batch.num_rows, rows))
+
+
 @dataclass
 class Profiles:
     languages: list[str]
@@ -104,7 +109,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(dimensions, seed), {}
-        for batch in batches:
+        for batch in _slices(batches):
             langs = batch.column(1).to_pylist()
             vectors, has = _by_text(space, batch.column(0).to_pylist())
             norms = np.linalg.norm(vectors, axis=1)
@@ -138,7 +143,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_ou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(profiles.dimensions, profiles.seed)
-        for batch in batches:
+        for batch in _slices(batches):
             vectors, has = _by_text(space, [t or "" for t in batch.column(at).to_pylist()])
             if profiles.languages:
                 norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)

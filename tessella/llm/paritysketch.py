@@ -34,7 +34,7 @@ BLOCK_BITS = 1 << 16
 #: Bits of the whole sketch that is compared before exact sets are.
 SKETCH_WORDS = 16
 #: Entries a worker holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Rows up to which the documents that have candidates are broadcast to find their texts; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -183,7 +183,7 @@ def _entries(docs: DataFrame, text_col: str, percent: int) -> DataFrame:
                 sets.append(found)
                 ids.append(node)
                 waiting += len(found)
-                if waiting > 1 << 18:
+                if waiting > 1 << 17:
                     enter(sets, ids)
                     sets, ids, waiting = [], [], 0
             if sets:
@@ -281,7 +281,7 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, text_col: str, id_col: str) ->
     wanted = texts.join(F.broadcast(chosen) if few else chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             found = list(shingles.shingle_sets(batch.column(1)))
             names = np.array([shingles.set_identity(s) if len(s) else -1 for s in found], np.int64)
             right = np.flatnonzero(names == batch.column(0).to_numpy(zero_copy_only=False))  # equal ids can have several texts

@@ -50,7 +50,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return textscan.span_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, bounds)
 
 
-def shingle_sets(column: pa.Array, size: int = 5, at_once: int = 1 << 21) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, size: int = 5, at_once: int = 1 << 18) -> Iterator[np.ndarray]:
     """For each row of a string column the sorted distinct hashes of its shingles.
 
     A row with fewer words than ``size`` has its whole sequence as its one shingle; one without words has none.

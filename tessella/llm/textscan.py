@@ -41,16 +41,17 @@ def classes() -> np.ndarray:
     return out
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_held_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of an odd base and of its inverse modulo 2**64; a process keeps the longest it needed."""
+    if len(_held_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+            p[0] = 1
+            _held_powers[k] = np.multiply.accumulate(p)
+    return _held_powers
 
 
 def finalised(h: np.ndarray) -> np.ndarray:
@@ -63,8 +64,7 @@ def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     """64-bit hashes of the spans of an array of code points or bytes, by one prefix sum over the array."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(12, int(len(units)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = _powers(max(1 << 12, len(units) + 1))
     terms = finalised(units.astype(np.uint64) + np.uint64(_BASE))
     terms *= power[: len(units)]
     sums = np.zeros(len(units) + 1, np.uint64)
