@@ -2,9 +2,10 @@
 
 A vector is the sum of one codeword from each of several codebooks, all of full dimension; the codebooks are learned one
 after another on what the earlier ones leave. Codes are found by a beam search, which keeps the best few partial sums
-at each codebook. An index row holds the codes, the vector's norm and its approximation's. A query makes a table of
-its inner products with all codewords, so a row's score is a sum of looked-up numbers, scaled by the stored norms.
-The best rows of every block are then scored exactly on the original vectors.
+at each codebook. An index row holds the codes, the ratio of the vector's norm to its approximation's, and how far the
+approximation misses. A query makes a table of its inner products with all codewords, so a row's score is a sum of
+looked-up numbers, scaled by the stored ratio. The best rows of every block are scored exactly on the original vectors;
+so is every other row that could reach the last of them by as much as its approximation misses. The result is exact.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
+EPSILON = float(np.finfo(np.float32).eps)
+
 
 @dataclass(frozen=True)
 class Settings:
     """codebooks, codewords: of the quantiser (256 codewords at most, so a code is a byte); beam: its search's width.
     sample: vectors it is fitted on, at most, chosen by a hash of their ids; rounds: of k-means for each codebook.
     block_rows, block_queries: rows and queries that are scored against each other at a time.
-    shortlist: rows of a block that are scored exactly for each query.
+    shortlist: rows of a block that are scored exactly for each query before the bound on the others is known.
     """
 
     codebooks: int = 12
@@ -116,36 +119,45 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dimensions: int) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, id_col: str, vector_col: str, settings: Settings = Settings()) -> tuple[DataFrame, Quantiser | None, int]:
-    """The index of all usable vectors (vec_id, embedding, codes, ``scale``: norm over the approximation's norm), the quantiser and the dimension.
+    """The index of all usable vectors (vec_id, embedding, codes, ``scale``: norm over the approximation's norm, ``miss``: a bound on the
+    distance of vector and scaled approximation, the rounding of looked-up scores included), the quantiser and the dimension.
 
     The dimension is the most frequent length of a vector. The quantiser is fitted on ``sample`` vectors at most.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     most = rows.groupBy(F.size("embedding").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
     if most is None:
-        return rows.where("false").selectExpr("vec_id", "embedding", "X'' AS codes", "0f AS scale"), None, 0
+        return rows.where("false").selectExpr("vec_id", "embedding", "X'' AS codes", "0f AS scale", "0f AS miss"), None, 0
     rows = rows.where(usable(F.col("embedding"), most.d))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).toArrow()
     if not sample.num_rows:
-        return rows.selectExpr("vec_id", "embedding", "X'' AS codes", "0f AS scale"), None, most.d
+        return rows.selectExpr("vec_id", "embedding", "X'' AS codes", "0f AS scale", "0f AS miss"), None, most.d
     quantiser = Quantiser.fit(_matrix(sample.column("embedding"), most.d).astype(np.float32), settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), most.d)
             codes = quantiser.encode(x, settings.beam)
-            norms = np.linalg.norm(quantiser.decode(codes).astype(np.float64), axis=1)
-            scale = np.linalg.norm(x.astype(np.float64), axis=1) / np.maximum(norms, 1e-30)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale.astype(np.float32))], ["vec_id", "embedding", "codes", "scale"])
-
-    index = rows.mapInArrow(run, "vec_id long, embedding array<float>, codes binary, scale float")
+            near = quantiser.decode(codes).astype(np.float64)
+            scale = (np.linalg.norm(x.astype(np.float64), axis=1) / np.maximum(np.linalg.norm(near, axis=1), 1e-30)).astype(np.float32)
+            parts = sum(np.sqrt(quantiser.squares[m])[codes[:, m]] for m in range(codes.shape[1]))
+            rounding = (most.d + codes.shape[1] + 8) * EPSILON * (parts * scale + np.linalg.norm(x, axis=1))
+            miss = np.linalg.norm(x - near * scale[:, None].astype(np.float64), axis=1) + rounding
+            made = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(miss.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["vec_id", "embedding", "codes", "scale", "miss"])
+
+    index = rows.mapInArrow(run, "vec_id long, embedding array<float>, codes binary, scale float, miss float")
     return scratch.written(index, "index"), quantiser, most.d
 
 
 def search(index: DataFrame, queries: DataFrame, quantiser: Quantiser | None, dimensions: int, k: int = 20, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest rows found for each of ``queries`` (query_id, embedding): score is the exact
+    """(query_id, rank, vec_id, score) of the ``k`` nearest rows for each of ``queries`` (query_id, embedding): score is the exact
     inner product in double precision, ties go to the smaller vec_id; a query's own id is no candidate.
 
+    In a block the ``k``-th exact score of the shortlist is a floor. A row's exact score is at most its looked-up one plus
+    ``miss`` times the query's norm, so all rows that reach the floor this way are scored again, first in single precision,
+    then, those within its rounding of the floor, in double: any number of equal vectors comes to the sort by id.
+
     Blocks of queries meet blocks of rows, each pair in a task of its own, which hands on ``k`` rows a query.
     """
     if quantiser is None:
@@ -163,19 +175,24 @@ def search(index: DataFrame, queries: DataFrame, quantiser: Quantiser | None, di
             ids = r.column("vec_id").to_numpy()[order]
             x = _matrix(r.column("embedding"), dimensions)[order]
             codes = np.frombuffer(b"".join(r.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            scale = r.column("scale").to_numpy()[order]
+            scale, miss = r.column("scale").to_numpy()[order], r.column("miss").to_numpy()[order]
+            rounding = (dimensions + 8) * EPSILON * np.linalg.norm(x.astype(np.float64), axis=1)
             names, asking = q.column("query_id").to_numpy(), _matrix(q.column("embedding"), dimensions)
             for a in range(0, len(names), 128):
                 part = asking[a : a + 128]
                 rough = quantiser.scores(part, codes) * scale[:, None]
                 short = min(settings.shortlist, len(ids))
                 rough = np.ascontiguousarray(rough.T)
-                near = np.sort(np.argpartition(-rough, short - 1, axis=1)[:, :short], axis=1)
-                for i, rows_ in enumerate(near):
-                    exact = (x[rows_].astype(np.float64) * part[i].astype(np.float64)).sum(axis=1)
-                    exact[ids[rows_] == names[a + i]] = -np.inf
+                near = np.argpartition(-rough, short - 1, axis=1)[:, :short]
+                for i, first in enumerate(near):
+                    v, length = part[i].astype(np.float64), np.linalg.norm(part[i].astype(np.float64))
+                    first = first[ids[first] != names[a + i]]
+                    known = (x[first].astype(np.float64) * v).sum(axis=1)
+                    floor = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else -np.inf
+                    rows_ = np.flatnonzero((rough[i] + length * miss >= floor) & (ids != names[a + i]))
+                    rows_ = rows_[x[rows_] @ part[i] + length * rounding[rows_] >= floor]
+                    exact = (x[rows_].astype(np.float64) * v).sum(axis=1)
                     best = np.argsort(-exact, kind="stable")[:k]  # ties: rows come by id
-                    best = best[exact[best] > -np.inf]
                     found[0].append(np.full(len(best), names[a + i]))
                     found[1].append(ids[rows_][best])
                     found[2].append(exact[best])

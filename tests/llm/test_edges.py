@@ -290,6 +290,25 @@ def test_neighbours(spark):
     assert additive.nearest(df.where("vec_id < 5")).count() == 4
 
 
+def test_neighbours_in_large_groups_of_copies(spark):
+    """Groups of exact and near copies above the shortlist, in several blocks: all ids and scores are those of brute force."""
+    random_ = np.random.default_rng(8)
+    x = random_.normal(size=(2400, 16)).astype(np.float32)
+    x[random_.permutation(2400)[:800]] = x[0]
+    near = random_.permutation(2400)[:800]
+    x[near] = x[1] + random_.normal(scale=0.002, size=(800, 16)).astype(np.float32)
+    x[[0, 100, 200]], x[[300, 400]] = x[0], x[near[:2]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    small = additive.Settings(block_rows=1200, shortlist=40, sample=400, codewords=64)
+    got = {}
+    for r in additive.nearest(df, every=100, settings=small).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == list(range(0, 2400, 100))
+    for q, found in got.items():
+        exact = (x.astype(np.float64) * x[q].astype(np.float64)).sum(axis=1)
+        assert found == [int(i) for i in np.argsort(-exact, kind="stable") if i != q][:20], q
+
+
 def test_beam_search_is_better_than_greedy():
     random_ = np.random.default_rng(1)
     x = random_.normal(size=(800, 16)).astype(np.float32)
