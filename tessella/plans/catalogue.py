@@ -24,6 +24,9 @@ THRESHOLD, CAP, MAX_BLOCK = 0.3, 2, 5
 KS = [1, 2, 3, 4]
 GRID = ([2, 4], [0, 2], [0, 3], [False, True])
 RARE = (0.005, 20)
+#: Of the reference: rows that the exact cosine may reorder, and those that stay, for each pass.
+M1, M4 = 300, 100
+K1, K4 = features.K1, features.K4
 WORD_SQL = r"regexp_extract_all({}, '[^ \t\n\r]+')"
 
 
@@ -315,7 +318,7 @@ def exact_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate lists by rare n-grams and exact cosine: one row for each query record."""
-    found = C.retrieve(*_weighted(spark, sf), 20, 5)
+    found = C.retrieve(*_weighted(spark, sf), M1, K1)
     asks = view(spark, sf, "ent").where(F.startswith("entity_id", F.lit("S1-"))).select(F.col("entity_id").alias("s1_id"))
     return tables.list_output(found, asks)
 
@@ -612,8 +615,8 @@ def _entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def _featured(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates by rare n-grams from either side, with their features."""
     q, p = _weighted(spark, sf)
-    forward = C.retrieve(q, p, 20, 5).select("s1_id", "cand_id", F.col("rank").alias("p1_rank"), "cosine", F.lit(None).cast("int").alias("p1_rank_rev"))
-    reverse = C.reverse_retrieve(q, p, 10, 3).select("s1_id", "cand_id", F.lit(None).cast("int").alias("p1_rank"), "cosine", F.col("rank_rev").alias("p1_rank_rev"))
+    forward = C.retrieve(q, p, M1, K1).select("s1_id", "cand_id", F.col("rank").alias("p1_rank"), "cosine", F.lit(None).cast("int").alias("p1_rank_rev"))
+    reverse = C.reverse_retrieve(q, p, M4, K4).select("s1_id", "cand_id", F.lit(None).cast("int").alias("p1_rank"), "cosine", F.col("rank_rev").alias("p1_rank_rev"))
     pairs = forward.unionByName(reverse).groupBy("s1_id", "cand_id").agg(F.max("p1_rank").alias("p1_rank"), F.max("p1_rank_rev").alias("p1_rank_rev"), F.max("cosine").alias("p1_cos"))
     flags = {"in_p1": F.col("p1_rank").isNotNull(), "in_p4": F.col("p1_rank_rev").isNotNull(), "in_p2": F.lit(False), "in_p3": F.lit(False)}
     pairs = pairs.withColumns({**flags, "p2_cos": F.col("p1_cos"), "p2_rank": F.lit(None).cast("int")})
