@@ -54,6 +54,12 @@ def char_ngrams(records: DataFrame, text: Column, low: int = 3, high: int = 5) -
     return records.select("entity_id", "country", F.explode(F.flatten(F.transform(padded, grams))).alias("gram")).groupBy("entity_id", "country", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def name_text() -> Column:
+    """The text of the name pass: the core name, its glued spelling where that differs, and the domain's stem."""
+    glued = F.when(F.col("name_nospace") != F.col("name_core"), F.col("name_nospace"))
+    return F.concat_ws(" ", "name_core", glued, "name_domain_stem")
+
+
 def gram_df(postings: DataFrame) -> DataFrame:
     """How many records of a country hold a gram."""
     return postings.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"))

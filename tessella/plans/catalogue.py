@@ -25,8 +25,9 @@ KS = [1, 2, 3, 4]
 GRID = ([2, 4], [0, 2], [0, 3], [False, True])
 RARE = (0.005, 20)
 #: Of the reference: rows that the exact cosine may reorder, and those that stay, for each pass.
-M1, M4 = 300, 100
-K1, K4 = features.K1, features.K4
+M1, M2, M4 = 300, 300, 100
+K1, K2, K4 = features.K1, features.K2, features.K4
+P4_CAP, P3_BLOCK = 100, 20
 WORD_SQL = r"regexp_extract_all({}, '[^ \t\n\r]+')"
 
 
@@ -612,16 +613,27 @@ def _entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return s1.join(chains, ["country", "name_core"], "left").select(*columns), pool.join(chains, ["country", "name_core"], "left").select(*columns)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once, below ``spark.checkpoint.dir`` where the cluster names it; the passes read it several times."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def _featured(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates by rare n-grams from either side, with their features."""
-    q, p = _weighted(spark, sf)
-    forward = C.retrieve(q, p, M1, K1).select("s1_id", "cand_id", F.col("rank").alias("p1_rank"), "cosine", F.lit(None).cast("int").alias("p1_rank_rev"))
-    reverse = C.reverse_retrieve(q, p, M4, K4).select("s1_id", "cand_id", F.lit(None).cast("int").alias("p1_rank"), "cosine", F.col("rank_rev").alias("p1_rank_rev"))
-    pairs = forward.unionByName(reverse).groupBy("s1_id", "cand_id").agg(F.max("p1_rank").alias("p1_rank"), F.max("p1_rank_rev").alias("p1_rank_rev"), F.max("cosine").alias("p1_cos"))
-    flags = {"in_p1": F.col("p1_rank").isNotNull(), "in_p4": F.col("p1_rank_rev").isNotNull(), "in_p2": F.lit(False), "in_p3": F.lit(False)}
-    pairs = pairs.withColumns({**flags, "p2_cos": F.col("p1_cos"), "p2_rank": F.lit(None).cast("int")})
-    s1, pool = _entities(spark, sf)
-    return features.pair_features(pairs.join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id"), s1, pool)
+    """Candidates of all four passes with their features: rare n-grams of the whole record from either side and of the name, address keys."""
+    s1, pool = map(_kept, _entities(spark, sf))
+    q, p = map(_kept, _weighted(spark, sf))
+    both = _kept(C.tfidf(C.char_ngrams(s1.unionByName(pool), C.name_text()), *RARE))
+    asks = F.startswith("entity_id", F.lit("S1-"))
+    qn, pn = both.where(asks), both.where(~asks)
+    keys = lambda df: C.p3_keys(df.select("entity_id", "country", F.col("addr_core").alias("name"), F.col("addr_house_number").alias("house"), F.col("addr_state_canon").alias("state")))
+    pairs = C.candidate_union(
+        C.retrieve(q, p, M1, K1).withColumnRenamed("rank", "p1_rank"), C.retrieve(qn, pn, M2, K2).withColumnRenamed("rank", "p2_rank"),
+        C.p3_key_join(keys(s1), keys(pool), P3_BLOCK), C.reverse_retrieve(q, p, M4, K4).withColumnRenamed("rank_rev", "p1_rank_rev"),
+    )
+    pairs = C.exact_cosine(_kept(pairs), q, p).withColumnRenamed("cosine", "p1_cos")
+    chosen = _kept(C.select_k(pairs, K1, K2, K4, P4_CAP))
+    filled = C.exact_cosine(chosen, qn, pn).withColumnRenamed("cosine", "p2_cos")
+    return features.pair_features(filled.join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id"), s1, pool)
 
 
 @query("unicode_fold")
