@@ -10,6 +10,15 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
 
+#: Rows up to which a table of a few narrow columns is broadcast (some tens of MB); beyond, both sides of its join are shuffled.
+SMALL_ROWS = 200_000
+
+
+def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
+    """Whether ``df``, a written table, has at most so many rows; one count of them."""
+    return df.count() <= rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .common import SPACES, single_spaced, spaced, words
+from .common import SPACES, is_small, single_spaced, spaced, words
 
 SYMBOLS = "#*$%&|<>"
 #: Positions of words are packed in the low bits beside a hash of the window that starts there.
 POSITION_BITS = 24
+#: Keys over which a host's rows are dealt where its verdict isn't broadcast.
+SPREAD = 16
 
 
 @dataclass(frozen=True)
@@ -35,17 +37,21 @@ class HostRules:
     max_host_rate: float = 0.75
 
 
-def _equal_neighbours(found: str, window: str) -> Column:
-    """For each of the sorted windows but the last: whether the next one holds the same three words.
+#: What :func:`_neighbours` says of two windows that follow one another in sorted order.
+OTHER, EQUAL, COLLIDING = 0, 1, 2
+
+
+def _neighbours(found: str, window: str) -> Column:
+    """For each of the sorted windows but the last: OTHER, EQUAL or COLLIDING, by its hash and words against the next one's.
 
     ``window`` names a column of windows packed as (hash, position) and sorted, ``found`` one of the words, on which
-    equality is decided.
+    equality is decided. Windows with one hash stand together; if no two neighbours among them are COLLIDING all are equal.
     """
     low = (1 << POSITION_BITS) - 1
     same = " AND ".join(f"get({found}, CAST(x & {low} AS INT) + {k}) = get({found}, CAST(y & {low} AS INT) + {k})" for k in range(3))
     return F.expr(f"""
         zip_with(slice({window}, 1, greatest(size({window}) - 1, 0)), slice({window}, 2, greatest(size({window}) - 1, 0)),
-                 (x, y) -> CASE WHEN shiftright(x, {POSITION_BITS}) = shiftright(y, {POSITION_BITS}) AND {same} THEN true ELSE false END)""")
+                 (x, y) -> CASE WHEN shiftright(x, {POSITION_BITS}) <> shiftright(y, {POSITION_BITS}) THEN {OTHER} WHEN {same} THEN {EQUAL} ELSE {COLLIDING} END)""")
 
 
 def with_measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -54,12 +60,14 @@ def with_measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
     n_words; word_chars (code points in words); n_symbols (characters of SYMBOLS); n_lines (lines that hold a word);
     n_dup_lines (those equal to an earlier one); n_repeat_words (words in three-word windows that occur twice or more).
 
-    A text of 2**24 words or more can't have its positions packed; it takes the same steps over (hash, position)
-    structures instead of packed numbers.
+    Windows are sorted as numbers, a part of their hash above their position, and compared with their neighbours word by
+    word. Texts in which that part of the hash is the same for different windows, and texts whose positions don't fit
+    beside it, have their windows sorted by their words instead; the result is the same and exact either way.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     low = (1 << POSITION_BITS) - 1
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    counted = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     step0 = docs.select(
         *keep,
         spaced(F.col(text)).alias("_b"),
@@ -78,29 +86,31 @@ def with_measures(docs: DataFrame, keep: list[str], text: str = "text") -> DataF
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.expr(f"""
-            CASE WHEN size(_w) < 4 THEN CAST(array() AS ARRAY<BIGINT>)
-                 WHEN size(_w) <= {low} THEN sort_array(transform(sequence(0, size(_w) - 3),
-                     i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), {POSITION_BITS}) | CAST(i AS BIGINT)))
-                 ELSE CAST(array() AS ARRAY<BIGINT>) END""").alias("_s"),
+            CASE WHEN size(_w) < 4 OR size(_w) > {low} THEN CAST(array() AS ARRAY<BIGINT>)
+                 ELSE sort_array(transform(sequence(0, size(_w) - 3),
+                     i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), {POSITION_BITS}) | CAST(i AS BIGINT))) END""").alias("_s"),
+    )
+    step3 = step2.select(*keep, *counted, "_w", "_s", _neighbours("_w", "_s").alias("_e"))
+    step4 = step3.select(
+        *keep, *counted, "_s", "_e",
         F.expr(f"""
-            CASE WHEN size(_w) > {low} THEN sort_array(transform(sequence(0, size(_w) - 3),
-                     i -> struct(concat_ws(' ', get(_w, i), get(_w, i + 1), get(_w, i + 2)) AS g, i AS i)))
-                 END""").alias("_big"),
+            CASE WHEN size(_w) > {low} OR exists(_e, x -> x = {COLLIDING}) THEN sort_array(transform(sequence(0, size(_w) - 3),
+                     i -> struct(get(_w, i) AS a, get(_w, i + 1) AS b, get(_w, i + 2) AS c, CAST(i AS BIGINT) AS i))) END""").alias("_g"),
     )
-    step3 = step2.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "_s", "_big", _equal_neighbours("_w", "_s").alias("_e"))
     # a window repeats if it equals the one before or the one after it in sorted order
-    step4 = step3.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
+    alike = "(x.a = get(_g, {0}).a AND x.b = get(_g, {0}).b AND x.c = get(_g, {0}).c)"
+    step5 = step4.select(
+        *keep, *counted,
         F.expr(f"""
-            CASE WHEN _big IS NOT NULL THEN array_sort(transform(filter(transform(_big, (x, j) ->
-                     CASE WHEN x.g = get(_big, j + 1).g OR (j > 0 AND x.g = get(_big, j - 1).g) THEN x.i ELSE -1 END), i -> i >= 0), i -> CAST(i AS BIGINT)))
-                 WHEN exists(_e, x -> x) THEN sort_array(transform(filter(_s, (x, j) -> get(_e, j) OR (j > 0 AND get(_e, j - 1))), x -> x & {low}))
+            CASE WHEN _g IS NOT NULL THEN sort_array(transform(filter(_g, (x, j) ->
+                     (j + 1 < size(_g) AND {alike.format('j + 1')}) OR (j > 0 AND {alike.format('j - 1')})), x -> x.i))
+                 WHEN exists(_e, x -> x = {EQUAL}) THEN sort_array(transform(filter(_s, (x, j) -> get(_e, j) = {EQUAL} OR (j > 0 AND get(_e, j - 1) = {EQUAL})), x -> x & {low}))
                  ELSE CAST(array() AS ARRAY<BIGINT>) END""").alias("_r"),
     )
     covered = F.expr("""
         CASE WHEN size(_r) = 0 THEN 0L
              ELSE 3L + aggregate(zip_with(slice(_r, 1, size(_r) - 1), slice(_r, 2, size(_r) - 1), (a, b) -> least(b - a, 3L)), 0L, (s, x) -> s + x) END""")
-    return step4.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
+    return step5.select(*keep, *counted, covered.alias("n_repeat_words"))
 
 
 def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: HostRules = HostRules(), keep: Sequence[str] = ()) -> DataFrame:
@@ -129,7 +139,7 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("_host").alias("_h2"), "host_docs", "host_failed",
         ((F.col("host_failed") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta))).alias("host_rate"),
     )
-    joined = judged.join(verdicts, F.col("_host").eqNullSafe(F.col("_h2")), "left")
+    joined = with_verdicts(judged, scratch.written(verdicts, "hosts"))
     return joined.select(
         F.col("_id").alias(id_col), F.col("_host").alias("host"),
         "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "rule_failed",
@@ -138,6 +148,20 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def with_verdicts(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``judged`` (_host) with the columns of ``verdicts`` (_h2), by host; nulls are one host.
+
+    The verdicts on up to SMALL_ROWS hosts are broadcast, so no text is shuffled. Beyond that both sides are, with each host's rows
+    dealt over SPREAD keys, so that a host with a third of all rows is no single task's.
+    """
+    same = F.col("_host").eqNullSafe(F.col("_h2"))
+    if is_small(verdicts):
+        return judged.join(F.broadcast(verdicts), same, "left").drop("_h2")
+    dealt = judged.withColumn("_deal", F.pmod(F.xxhash64("_id", "n_words", "word_chars"), F.lit(SPREAD)))
+    copies = verdicts.withColumn("_deal2", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.join(copies, same & (F.col("_deal") == F.col("_deal2")), "left").drop("_h2", "_deal", "_deal2")
+
+
 def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
     """alpha and beta of the prior from the mean and variance of the hosts' rates.
 
