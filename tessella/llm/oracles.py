@@ -60,24 +60,29 @@ FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id LEFT JOIN m ON m.doc_i
 """
 
 _ESC = "replace(replace({}, '&', '&amp;'), '<|', '&lt;|')"
-#: The digests follow from the turns; the formatted length from how many windows hold each turn (spans of 512 tokens, history of 128).
+#: The digests follow from the turns; the formatted length from how many windows hold each turn (windows of 512 tokens, history of 128).
 CHAT_WINDOWS = f"""
-WITH c AS (
+WITH RECURSIVE c AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), t AS (
-    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord,
-           coalesce(sum(CAST(ceil(strlen(text) / 4) AS BIGINT) + 4) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
-    FROM c
+    SELECT *, CAST(ceil(strlen(text) / 4) AS BIGINT) + 4 AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord FROM c
 ), p AS (
-    SELECT *, floor(b / 512) AS span, 24 + length(replace({_ESC.format('role')}, chr(10), '&#10;')) + length({_ESC.format('text')}) AS chars FROM t
-), f AS (
-    SELECT conv_id, span, min(b) AS b0 FROM p GROUP BY 1, 2
-), s AS (
-    SELECT conv_id, span, count(*) OVER (PARTITION BY conv_id) AS wins, lead(b0, 1) OVER (PARTITION BY conv_id ORDER BY span) AS n1, lead(b0, 2) OVER (PARTITION BY conv_id ORDER BY span) AS n2 FROM f
+    SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, ord = 1 AND role = 'system' AS sys,
+           24 + length(replace({_ESC.format('role')}, chr(10), '&#10;')) + length({_ESC.format('text')}) AS chars FROM t
+), q AS (
+    SELECT *, sum(CASE WHEN sys THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS head, min(CASE WHEN sys THEN NULL ELSE b END) OVER (PARTITION BY conv_id ORDER BY b RANGE BETWEEN 128 PRECEDING AND CURRENT ROW) AS f0 FROM p
+), r AS MATERIALIZED (
+    SELECT *, CASE WHEN NOT sys AND b - f0 + tok + head <= 512 THEN f0 ELSE b END AS f FROM q
+), nx AS MATERIALIZED (
+    SELECT a.conv_id, a.ord, min(z.ord) AS nxt FROM r a JOIN r z ON z.conv_id IS NOT DISTINCT FROM a.conv_id AND z.ord > a.ord AND z.b + z.tok > a.b + 512 - CASE WHEN a.ord = 1 THEN 0 ELSE a.head + a.b - a.f END GROUP BY 1, 2
+), w AS (
+    SELECT conv_id, ord, 0 AS win FROM r WHERE ord = 1
+    UNION ALL SELECT w.conv_id, nx.nxt, win + 1 FROM w JOIN nx ON nx.conv_id IS NOT DISTINCT FROM w.conv_id AND nx.ord = w.ord
+), h AS (
+    SELECT r.conv_id, r.ord, r.b, r.f, win FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.ord = w.ord
 ), x AS (
-    SELECT p.*, CASE WHEN ord = 1 AND role = 'system' THEN wins ELSE 1 + CASE WHEN n1 - b <= 128 THEN 1 ELSE 0 END + CASE WHEN n2 - b <= 128 THEN 1 ELSE 0 END END AS times
-    FROM p JOIN s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.span = p.span
+    SELECT r.*, 1 + (SELECT count(*) FROM h WHERE h.conv_id IS NOT DISTINCT FROM r.conv_id AND h.win > 0 AND h.ord > r.ord AND (r.sys OR r.b >= h.f)) AS times FROM r
 ), g AS (
     SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord) AS said,
            string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY ord) AS loss, CAST(sum(chars * times) AS BIGINT) AS formatted_chars
@@ -86,27 +91,29 @@ WITH c AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-
-def _url_tree(depth: int = 4) -> str:
-    """The template tree, a few common tables for each level."""
-    sql = r"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS a FROM pages),
+#: The template tree: the recursion takes a level of all pages at a time, windows stand for the nodes and their children.
+URL_TEMPLATES = r"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS a FROM pages),
 r AS (SELECT page_id, CASE WHEN a > 0 THEN substr(url, a + 3) ELSE '' END AS rest FROM u),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r),
 hp AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
 ru AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM hp),
-l0 AS (SELECT *, CASE WHEN rule IS NOT NULL THEN CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 1 ELSE 0 END END AS label,
-    CASE WHEN path <> '' THEN string_split(replace(regexp_replace(path, '^/', ''), '*', '%2A'), '/') ELSE [] END AS segs, '' AS template FROM ru)"""
-    for d in range(depth):
-        sql += f""",
-k{d} AS (SELECT host, template, segs[{d + 1}] AS seg, count(*) AS n, sum(label) AS k, count(label) AS m FROM l{d} WHERE len(segs) > {d} GROUP BY 1, 2, 3),
-p{d} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS pn, (coalesce(sum(k) OVER w, 0) + 1) / (sum(m) OVER w + 2) AS share FROM k{d} WINDOW w AS (PARTITION BY host, template)),
-b{d} AS (SELECT host, template, seg FROM p{d} WHERE NOT (kids > 20 AND n < 0.05 * pn) AND (kids = 1 OR NOT (m = 0 OR abs(k / m - share) <= 1.96 * sqrt(share * (1 - share) / greatest(m, 1))))),
-l{d + 1} AS (SELECT l.page_id, l.host, l.path, l.rule, l.label, l.segs, l.template || CASE WHEN len(l.segs) > {d} THEN '/' || coalesce(b.seg, '*') ELSE '' END AS template
-    FROM l{d} l LEFT JOIN b{d} b ON b.host = l.host AND b.template = l.template AND b.seg = l.segs[{d + 1}])"""
-    return sql + f""",
-t AS (SELECT page_id, host, path, rule, label, template || CASE WHEN len(segs) > {depth} THEN '/**' ELSE '' END AS template FROM l{depth}),
+l0 AS MATERIALIZED (SELECT *, CASE WHEN rule IS NOT NULL THEN CASE WHEN rule IN ('example.org/es/', 'example.org/en/1', 'com/de/') THEN 1 ELSE 0 END END AS label,
+    CASE WHEN path <> '' THEN string_split(replace(regexp_replace(path, '^/', ''), '*', '%2A'), '/') ELSE [] END AS segs FROM ru),
+dm AS (SELECT max(len(segs)) AS deepest FROM l0),
+l AS (
+    SELECT page_id, host, path, rule, label, segs, '' AS template, 0 AS d FROM l0
+    UNION ALL
+    SELECT page_id, host, path, rule, label, segs, template || CASE WHEN seg IS NULL THEN '' WHEN NOT (kids > 20 AND n < 0.05 * pn)
+           AND (kids = 1 OR NOT (m = 0 OR abs(k / m - (coalesce(pk, 0) + 1) / (pm + 2)) <= 1.96 * sqrt((coalesce(pk, 0) + 1) / (pm + 2) * (1 - (coalesce(pk, 0) + 1) / (pm + 2)) / greatest(m, 1)))) THEN '/' || seg ELSE '/*' END, d + 1
+    FROM (
+        SELECT *, count(*) OVER kid AS n, sum(label) OVER kid AS k, count(label) OVER kid AS m, count(DISTINCT seg) OVER node AS kids, count(*) OVER node AS pn, sum(label) OVER node AS pk, count(label) OVER node AS pm
+        FROM (SELECT *, CASE WHEN len(segs) > d THEN segs[d + 1] END AS seg FROM l WHERE d < (SELECT deepest FROM dm))
+        WINDOW kid AS (PARTITION BY host, template, seg), node AS (PARTITION BY host, template, seg IS NULL)
+    )
+),
+t AS (SELECT page_id, host, path, rule, label, template FROM l WHERE d = (SELECT deepest FROM dm)),
 ct AS (SELECT host, template, sum(label) AS k, count(label) AS m FROM t GROUP BY 1, 2),
 ho AS (SELECT host, sum(k) AS k, sum(m) AS m FROM ct GROUP BY 1),
 al AS (SELECT CASE WHEN sum(m) > 0 THEN sum(k) / sum(m) ELSE 0 END AS share FROM ho),
@@ -116,6 +123,3 @@ SELECT page_id, t.host, path, rule, t.template, round(blocked, 6) AS blocked_sha
        CASE WHEN label = 1 THEN 'block' WHEN label = 0 THEN 'allow' WHEN blocked >= 0.8 AND seen THEN 'block' ELSE 'allow' END AS verdict
 FROM t JOIN sh ON sh.host = t.host AND sh.template = t.template
 """
-
-
-URL_TEMPLATES = _url_tree()
