@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-A conversation is cut into turn-aligned spans by prefix sums of its turns' tokens; each span becomes a window: the
-system turn, some history repeated from before the span, then the span's turns. Only assistant turns of the span
-are targets, so what a later window repeats is masked there, and each target counts once over all windows.
+A conversation becomes windows of at most a given number of tokens. Each holds the system turn, some history repeated
+from before, then the longest run of new turns that fits what these two leave; prefix sums of the turns' tokens tell how
+far that run goes and how much history there is. Only assistant turns of the run are targets, so what a later window
+repeats is masked there, and each target counts once over all windows.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In roles and texts ``&`` becomes ``&amp;`` and
 ``<|`` becomes ``&lt;|`` (and a line feed in a role ``&#10;``), so control strings only stand where the template puts them and
@@ -17,17 +18,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import scratch
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
 @dataclass(frozen=True)
 class Windows:
-    """span_tokens: a new window starts with the first turn that begins after so many tokens of the current one.
-    history_tokens: turns before the span are repeated while they sum to at most this; less than span_tokens.
+    """window_tokens: of a window at most, unless the system turn and one new turn alone have more.
+    history_tokens: of turns that are repeated before the new ones, at most; none are where the first new turn would not fit then.
     turn_overhead: tokens that the template adds to each turn.
     """
 
-    span_tokens: int = 512
+    window_tokens: int = 512
     history_tokens: int = 128
     turn_overhead: int = 4
 
@@ -57,60 +60,86 @@ def format_windows(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", settings: Windows = Windows()
 ) -> DataFrame:
     """One row for each window: conversation, ``window`` (from 0), ``text``, ``n_repeated`` (leading turns that earlier windows had), ``n_turns``,
-    ``targets`` (array of start and length, in code points of ``text``).
+    ``n_tokens`` (by :func:`turn_tokens`, an estimate), ``targets`` (array of start and length, in code points of ``text``).
+
+    ``n_tokens`` is at most ``window_tokens``, but for windows with a single new turn that doesn't fit beside the system turn.
 
     * null roles and texts: empty; empty texts: turns like any other, an empty target has length 0;
     * null conversation ids: one conversation; null turns come first;
     * ties and repeated rows: all kept, ordered by turn, role and text;
-    * a turn longer than ``span_tokens`` is never cut: it ends its window;
+    * very long texts: a turn is never cut, it has a window with no other new turn;
     * an empty table: an empty result; other columns are not read.
+
+    The windows of a conversation follow one another, so their beginnings are found in one pass over its turns' numbers; texts
+    only meet them by (conversation, turn).
     """
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role_col, text_col))
-    t = turns.select(F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), role.alias("_role"), text.alias("_text"))
-    ordered = W.partitionBy("_conv").orderBy(F.col("_turn").asc_nulls_first(), "_role", "_text")
+    key = F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit(""))  # joins nulls too
+    t = turns.select(key.alias("_key"), F.col(conv_col).alias("_conv"), F.col(turn_col).alias("_turn"), role.alias("_role"), text.alias("_text"))
+    ordered = W.partitionBy("_key").orderBy(F.col("_turn").asc_nulls_first(), "_role", "_text")
     t = t.withColumn("_tokens", turn_tokens(F.col("_text"), settings.turn_overhead)).withColumns(
         {"_ord": F.row_number().over(ordered), "_begin": F.coalesce(F.sum("_tokens").over(ordered.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))}
     )
-    t = t.withColumn("_span", F.floor(F.col("_begin") / settings.span_tokens))
+    t = t.withColumn("_system", (F.col("_ord") == 1) & (F.col("_role") == "system"))
+    # what a window that begins with this turn would repeat: the turns before it, but the system one, that lie within the history budget
+    near = W.partitionBy("_key").orderBy("_begin").rangeBetween(-settings.history_tokens, 0)
+    t = t.withColumns({
+        "_from": F.min(F.when(~F.col("_system"), F.col("_begin"))).over(near), "_head": F.sum(F.when(F.col("_system"), F.col("_tokens")).otherwise(0)).over(ordered),
+    })
+    fits = F.col("_begin") - F.col("_from") + F.col("_tokens") + F.col("_head") <= settings.window_tokens
+    t = scratch.written(t.withColumn("_from", F.when(~F.col("_system") & fits, F.col("_from")).otherwise(F.col("_begin"))), "turns")
+
+    # the first turns of windows: the one whose end lies beyond what the window before has room for
+    room = lambda x: f"{x}._begin + {settings.window_tokens} - CASE WHEN {x}._ord = 1 THEN 0 ELSE {x}._head + {x}._begin - {x}._from END"
+    numbers = F.array_sort(F.collect_list(F.struct("_ord", "_begin", "_tokens", "_from", "_head"))).alias("_t")
+    first = F.expr(f"""aggregate(_t, struct(CAST(-1 AS BIGINT) AS upto, CAST(array() AS ARRAY<STRUCT<_ord: INT, _begin: BIGINT, _from: BIGINT>>) AS found),
+        (s, x) -> CASE WHEN s.upto >= x._begin + x._tokens THEN s
+                       ELSE struct(CAST({room('x')} AS BIGINT) AS upto, concat(s.found, array(struct(x._ord AS _ord, x._begin AS _begin, x._from AS _from))) AS found) END, s -> s.found)""")
+    firsts = t.groupBy("_key").agg(numbers).select("_key", F.posexplode(first).alias("window", "_f")).select("_key", "window", F.col("_f._ord").alias("_ord"), F.col("_f._from").alias("_from"))
+    firsts = scratch.written(firsts, "firsts")
+
+    # a turn stands in its own window, as history in those that reach back to it, and the system turn in all
+    own = t.drop("_from", "_head", "_tokens").join(firsts.select("_key", "_ord", "window"), ["_key", "_ord"], "left")
+    own = own.withColumn("window", F.count("window").over(W.partitionBy("_key").orderBy("_ord")).cast("int") - 1)
+    back = t.select("_key", "_ord", "_begin", "_from").join(firsts.select("_key", "_ord", "window"), ["_key", "_ord"])
+    reach = _earlier(t.select("_key", "_ord", "_begin", "_system"), back)
+    again = t.drop("_from", "_head", "_tokens").join(reach, ["_key", "_ord"])
+    columns = ["_key", "_conv", "_ord", "_role", "_text", "window"]
+    placed = own.select(*columns, F.lit(True).alias("_new")).unionByName(again.select(*columns, F.lit(False).alias("_new")))
     piece = F.concat(F.lit(START), escaped_role(F.col("_role")), F.lit("\n"), escaped(F.col("_text")), F.lit(END))
-    t = t.select(
-        "_conv", "_ord", "_begin", "_span", piece.alias("_piece"),
-        (F.length(F.lit(START)) + F.length(escaped_role(F.col("_role"))) + 1).alias("_lead"),
-        F.length(escaped(F.col("_text"))).alias("_body"),
+    placed = placed.select(
+        "_key", "_conv", "_ord", "window", "_new", piece.alias("_piece"), turn_tokens(F.col("_text"), settings.turn_overhead).alias("_tokens"),
+        (F.length(F.lit(START)) + F.length(escaped_role(F.col("_role"))) + 1).alias("_lead"), F.length(escaped(F.col("_text"))).alias("_body"),
         (F.col("_role") == "assistant").alias("_says"),
-        ((F.col("_ord") == 1) & (F.col("_role") == "system")).alias("_system"),
     )
-    # the spans of a conversation, numbered without gaps; each knows where the next two begin
-    spans = t.groupBy("_conv", "_span").agg(F.min("_begin").alias("_from"))
-    in_order = W.partitionBy("_conv").orderBy("_span")
-    spans = spans.select(
-        F.col("_conv").alias("_c"), F.col("_span").alias("_s"), (F.row_number().over(in_order) - 1).alias("_window"),
-        F.count(F.lit(1)).over(W.partitionBy("_conv")).alias("_windows"),
-        F.lead("_from", 1).over(in_order).alias("_next"), F.lead("_from", 2).over(in_order).alias("_after"),
-    )
-    t = t.join(spans, F.col("_conv").eqNullSafe(F.col("_c")) & (F.col("_span") == F.col("_s")))
-    # a turn goes to its own window and, as history, to those of the next two that begin within the history budget:
-    # a third begins more than a span later. The system turn goes to all.
-    near = lambda begin: begin - F.col("_begin") <= settings.history_tokens
-    window = F.col("_window")
-    at = F.when(F.col("_system"), F.sequence(F.lit(0), (F.col("_windows") - 1).cast("int"))).otherwise(
-        F.array_compact(F.array(window, F.when(near(F.col("_next")), window + 1), F.when(near(F.col("_after")), window + 2)))
-    )
-    placed = t.withColumn("window", F.explode(at)).withColumn("_new", F.col("window") == F.col("_window"))
-    start = F.coalesce(F.sum(F.length("_piece")).over(W.partitionBy("_conv", "window").orderBy("_ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    start = F.coalesce(F.sum(F.length("_piece")).over(W.partitionBy("_key", "window").orderBy("_ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = placed.withColumn("_target", F.when(F.col("_new") & F.col("_says"), F.struct((start + F.col("_lead")).cast("long").alias("start"), F.col("_body").cast("long").alias("length"))))
     pieces = F.array_sort(F.collect_list(F.struct("_ord", "_piece", "_target")))
-    made = placed.groupBy("_conv", "window").agg(pieces.alias("_p"), F.sum((~F.col("_new")).cast("int")).alias("n_repeated"), F.count(F.lit(1)).alias("n_turns"))
+    made = placed.groupBy("_key", "window").agg(
+        F.first("_conv").alias("_conv"), pieces.alias("_p"), F.sum((~F.col("_new")).cast("int")).alias("n_repeated"), F.count(F.lit(1)).alias("n_turns"), F.sum("_tokens").alias("n_tokens"),
+    )
     return made.select(
         F.col("_conv").alias(conv_col), "window",
-        F.array_join("_p._piece", "").alias("text"), "n_repeated", "n_turns",
+        F.array_join("_p._piece", "").alias("text"), "n_repeated", "n_turns", "n_tokens",
         F.array_compact("_p._target").alias("targets"),
     )
 
 
+def _earlier(turns: DataFrame, back: DataFrame) -> DataFrame:
+    """(_key, _ord, window) of the turns that windows repeat: ``back`` has the first turn of each window and the beginning of its history."""
+    starts = turns.where("NOT _system").groupBy("_key", "_begin").agg(F.min("_ord").alias("_since"))
+    history = back.where("_from < _begin").select("_key", "window", F.col("_ord").alias("_until"), F.col("_from").alias("_begin")).join(starts, ["_key", "_begin"])
+    history = history.select("_key", "window", F.explode(F.sequence("_since", F.col("_until") - 1)).alias("_ord"))
+    systems = turns.where("_system").select("_key").join(back.where("window > 0").select("_key", "window"), "_key")
+    return history.unionByName(systems.select("_key", "window", F.lit(1).alias("_ord")))
+
+
 def read_turns(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """A row for each window with what its text holds: ``said`` (role, line feed, text, line feed of each turn that earlier windows
-    didn't have), ``n_new``, ``loss`` (all its targets' texts), ``chars``."""
+    didn't have), ``n_new``, ``loss`` (all its targets' texts), ``chars``.
+
+    An empty table gives an empty result; windows without targets have an empty ``loss``; other columns are not read.
+    """
     parts = F.filter(F.split(F.col("text"), F.lit("<\\|im_end\\|>\n")), lambda x: x != "")
     fresh = F.expr("slice(_parts, n_repeated + 1, greatest(size(_parts) - n_repeated, 0))")
 
@@ -130,7 +159,11 @@ def read_turns(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
 
 
 def digests(read: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, over its windows in order."""
+    """Per conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, over its windows in order.
+
+    Null conversation ids are one conversation; an empty table gives an empty result. A digest is that of a conversation's whole text,
+    which is therefore put together in one row.
+    """
     g = read.groupBy(conv_col).agg(F.array_sort(F.collect_list(F.struct("window", "said", "loss"))).alias("_w"), F.sum("n_new").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
     loss = F.array_join("_w.loss", "")
     return g.select(

@@ -52,6 +52,7 @@ def op5_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_budgeted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The budget counts estimated tokens: one for each four bytes of a text, and four for a turn's template."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trick = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "CASE WHEN id = 0 THEN 'user' ELSE 'assistant' END AS role", f"'{TRICK}' AS text")
     windows = scratch.written(chat.format_windows(given.unionByName(trick)), "windows")

@@ -1,7 +1,7 @@
 """Intermediate tables that every executor can read again after a lost one.
 
-They are plain Parquet tables below the folder the cluster names in ``spark.checkpoint.dir``. Only where that
-setting is absent (unit tests in one process) a temporary folder of this machine stands in for it.
+They are plain Parquet tables below the folder the cluster names in ``spark.checkpoint.dir``. Where that setting is
+absent a local master, whose executors are this process, gets a temporary folder; any other master is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
