@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from . import textscan
 
 #: Distinct pre-tokens a worker counts before it forgets the rare ones, and those it reports for its part.
 HELD, REPORTED = 1 << 20, 1 << 14
+#: Pre-tokens of a merged summary, and tasks whose summaries the driver gets.
+MERGED, GATHERED = 1 << 16, 4
 
 
 class _Counter:
@@ -50,12 +53,40 @@ class _Counter:
         self.counts = np.concatenate([self.counts[kept], np.zeros(most, np.int64)])
 
 
+SUMMARY = "words array<string>, counts array<long>"
+
+
+def _summary(words: list[str], counts: np.ndarray) -> pa.RecordBatch:
+    lists = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+    return pa.RecordBatch.from_arrays([lists(words, pa.string()), lists(counts[: len(words)], pa.int64())], ["words", "counts"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One summary of those of a part, which are added up one after another."""
+    sums: dict[str, int] = {}
+    for batch in batches:
+        for words, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for word, n in zip(words, counts, strict=True):
+                sums[word] = sums.get(word, 0) + n
+            if len(sums) > 4 * MERGED:
+                sums = dict(_greatest(sums, MERGED))
+    if sums:
+        kept = _greatest(sums, MERGED)
+        yield _summary([w for w, _ in kept], np.array([n for _, n in kept], np.int64))
+
+
+def _greatest(sums: dict[str, int], most: int) -> list[tuple[str, int]]:
+    return heapq.nsmallest(most, sums.items(), key=lambda x: (-x[1], x[0]))
+
+
 def frequent_pretokens(docs: DataFrame, text_col: str, path: str, most: int) -> list[str]:
     """At most ``most`` pre-tokens of all texts with the greatest counts, the most frequent first, ties by code point.
 
-    All texts are counted. A worker holds a bounded number of pre-tokens and reports a bounded summary of its part,
-    so pre-tokens themselves are never shuffled; a pre-token that is rare in every part can miss the list, which only
-    costs its users a slower lookup. Texts with special strings and nulls are left out.
+    All texts are counted. A worker holds a bounded number of pre-tokens and makes one summary of its part, of bounded size. The
+    summaries, one row each, are merged in a tree: by the session's shuffle partitions, then in GATHERED tasks, whose
+    results are collected. No pre-token is ever a row, let alone a key, and the driver gets the same few summaries
+    however many parts there are. A pre-token that is rare in every part can miss the list, which only costs its users a
+    slower lookup. Texts with special strings and nulls are left out.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +96,14 @@ def frequent_pretokens(docs: DataFrame, text_col: str, path: str, most: int) ->
             for pieces, _ in textscan.grouped(texts):
                 counter.add(scheme.tokens(pieces))
         counter.keep(REPORTED)
-        n = len(counter.words)
-        yield pa.RecordBatch.from_arrays([pa.array(counter.words, pa.string()), pa.array(counter.counts[:n], pa.int64())], ["word", "n"])
+        if counter.words:
+            yield _summary(counter.words, counter.counts)
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n long")
-    top = parts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.collect()]
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, SUMMARY).withColumn("part", F.spark_partition_id())
+    merged = parts.repartition("part").select("words", "counts").mapInArrow(_merged, SUMMARY)
+    found = merged.repartition(GATHERED).mapInArrow(_merged, SUMMARY).collect()
+    sums: dict[str, int] = {}
+    for row in found:
+        for word, n in zip(row.words, row.counts, strict=True):
+            sums[word] = sums.get(word, 0) + n
+    return [w for w, _ in _greatest(sums, most)]
