@@ -101,6 +101,37 @@ def test_language(docs, none):
     assert {r.lang_pred for r in unlearned.collect()} == {"und"}
 
 
+def test_language_of_long_texts():
+    """A text that is worked on in pieces has the vector of the whole one, in any script, wherever it is cut."""
+    space = langid.Space(128, 7)
+    texts = [LONG[:5000], "中文字符" * 900 + "!!  end", "नमस्ते दुनिया " * 200, " " * 4000 + "ab", "x" * 3000, "", "."]
+    whole, has = langid.text_vectors(space, texts)
+    assert has.tolist() == [True] * 5 + [False] * 2
+    for size in (1, 2, 777, 1666):
+        cut, found = langid.text_vectors(langid.Space(128, 7), texts, size)
+        assert (cut == whole).all() and (found == has).all(), size
+
+
+def test_language_vectors_by_brute_force(monkeypatch):
+    texts = ["Aé b", "ba ab ba", "中文 abc 中文", "", "zz"]
+    space = langid.Space(64, 3)
+    vector = {c: space.letter_vectors(np.array([ord(c) if c != " " else 0]))[0].astype(int) for c in "aébcz中文 "}
+    want = []
+    for t in texts:
+        padded = " " + t.lower() + " "
+        want.append(sum((np.roll(vector[x], 2) * np.roll(vector[y], 1) * vector[z] for x, y, z in zip(padded, padded[1:], padded[2:], strict=False)), np.zeros(64, int)))
+    assert (langid.text_vectors(space, texts)[0] == np.array(want)).all()
+    monkeypatch.setattr(langid, "DENSE_CODES", 0)
+    monkeypatch.setattr(langid, "KEPT", 3)
+    monkeypatch.setattr(langid, "AT_ONCE", 2)
+    assert (langid.text_vectors(space, texts)[0] == np.array(want)).all()
+    assert len({tuple(v) for v in space.letter_vectors(np.arange(0x4E00, 0x5200))}) == 0x400
+
+
+def test_language_model_is_bounded(docs):
+    assert langid.fit(docs, most=1).languages == ["en"]
+
+
 def test_quality(docs, none):
     out = quality.host_quality(docs, keep=docs.columns)
     got = by_id(out, "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -123,6 +154,19 @@ def test_quality_host_verdict(spark):
     assert quality.beta_prior(None, None) == (0.5, 0.5)
 
 
+def test_quality_repeats_with_equal_hash_bits(spark):
+    """The windows of these words agree in 40 bits of their hash, and the one between the two equal ones differs."""
+    text = "u227827 q z u4262416 q z u227827 q z"
+    out = quality.with_measures(spark.createDataFrame([(1, text), (2, text + " a b"), (3, "u227827 q z u4262416 q z")], "doc_id long, text string"), ["doc_id"])
+    assert by_id(out, "n_repeat_words") == {1: [(6,)], 2: [(6,)], 3: [(0,)]}
+
+
+def test_quality_verdicts_without_broadcast(docs, monkeypatch):
+    whole = rows(quality.host_quality(docs))
+    monkeypatch.setattr(quality, "is_small", lambda df: False)
+    assert rows(quality.host_quality(docs)) == whole
+
+
 def test_quality_repeats_by_brute_force(spark):
     random.seed(3)
     data = [(i, " ".join(random.choice("abcd") for _ in range(random.randint(0, 60)))) for i in range(200)]
@@ -214,13 +258,72 @@ def test_mixture_targets(spark):
         assert got[s] == pytest.approx(2 * sizes[s] if s in full else rate * weights[s])
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of long, string and (as a pair) int values."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64(data, seed=h).intdigest()
+    return h
+
+
+def brute_mixture(data, targets, seed=20240229):
+    """Copies of each (id, text, source) by sorting whole sources by the sampling key."""
+    copies = {}
+    for source in {s for _, _, s in data}:
+        mine = []
+        for doc, text, s in data:
+            if s == source:
+                symbols = sum(text.count(c) for c in mixing.SYMBOLS)
+                u = ((spark_hash(doc, text, (seed,)) >> 11) + 0.5) / 2**53
+                mine.append((-np.log(u) / max(0.1, 1 - 5 * symbols / max(1, len(text.encode()))), doc, len(words(text))))
+        size = sum(n for _, _, n in mine)
+        epochs = int(targets[source] // size)
+        rest, so_far = targets[source] - epochs * size, 0
+        going = True
+        for _, doc, n in sorted(mine):
+            going = going and so_far + n / 2 <= rest
+            copies[doc] = epochs + going
+            so_far += n
+    return copies
+
+
+@pytest.mark.parametrize("leaf,slice_bits", [(mixing.LEAF, mixing.SLICE_BITS), (3, 2)])
+def test_mixture_by_brute_force(spark, monkeypatch, leaf, slice_bits):
+    monkeypatch.setattr(mixing, "LEAF", leaf)
+    monkeypatch.setattr(mixing, "SLICE_BITS", slice_bits)
+    random.seed(6)
+    data = [(i, " ".join(random.choice(["w", "w#", "##", "word"]) for _ in range(random.randint(1, 30))), random.choice(["a", "a", "b", "c", None])) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)).collect()
+    sources = {i: s for i, _, s in data}
+    assert {r.doc_id: r.copies for r in got} == brute_mixture(data, {sources[r.doc_id]: r.target for r in got})
+
+
 def test_mixture_prefers_quality_and_hits_targets(spark):
     clean, dirty = " ".join(["word"] * 50), " ".join(["w###"] * 50)
     data = [(i, dirty if i % 2 else clean, "a" if i < 2000 else "b") for i in range(2400)]
     got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(1, 9)).collect()
     a = [r for r in got if r.doc_id < 2000]
     assert sum(r.taken for r in a) == pytest.approx(a[0].target, rel=0.02)
-    assert sum(r.copies for r in a if r.doc_id % 2 == 0) > 1.5 * sum(r.copies for r in a if r.doc_id % 2 == 1) or a[0].target / a[0].source_size > 1
+    good, poor = (sum(r.copies for r in a if r.doc_id % 2 == k) for k in (0, 1))
+    assert 1000 <= poor < good <= 2000 and a[0].target > 1.2 * a[0].source_size  # an epoch of all, then mostly clean ones
+    assert good - 1000 > 2 * (poor - 1000)
+
+
+def test_mixture_splits_equal_rows(spark):
+    """A source of equal rows meets its target, in whatever share the cut falls among them."""
+    data = [(7, "one two three four five", "b")] * 1000 + [(i, "w " * 40, "a") for i in range(200)] + [(i, "w " * 25, "c") for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix(df, keep=["doc_id", "text"])
+    got = out.collect()
+    assert len(got) == len(data) and rows(out.select("row.text", "doc_id")) == sorted(((t, i) for i, t, _ in data), key=repr)
+    for source_size in (5000, 8000, 10000):
+        mine = [r for r in got if r.source_size == source_size]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, abs=max(r.size for r in mine)), source_size
+    assert {r.copies for r in got if r.source_size == 5000} == {1, 2}
 
 
 def test_urls(spark):
@@ -247,6 +350,82 @@ def test_url_templates_learn_from_labels(spark):
     assert got[120].rule is None and got[120].verdict == "allow"
 
 
+def brute_templates(pages, rules, settings=urls.TreeSettings()):
+    """Template of each (host, path) by a recursive tree over lists of paths."""
+    blocked = {r.pattern: not r.allow for r in rules}
+    found = {}
+
+    def grow(host, mine, depth, template):
+        kids = {}
+        for path, segments, label in mine:
+            if len(segments) <= depth:
+                found[host, path] = template
+            else:
+                kids.setdefault(segments[depth], []).append((path, segments, label))
+        inner = [x for kid in kids.values() for x in kid]
+        labels = [x[2] for x in inner if x[2] is not None]
+        share = (sum(labels) + 1) / (len(labels) + 2)
+        others = []
+        for segment, kid in kids.items():
+            known = [x[2] for x in kid if x[2] is not None]
+            variable = len(kids) > settings.min_children and len(kid) < settings.max_child_share * len(inner)
+            alike = not known or abs(sum(known) / len(known) - share) <= settings.z * (share * (1 - share) / max(len(known), 1)) ** 0.5
+            if not variable and (not alike or len(kids) == 1):
+                grow(host, kid, depth + 1, f"{template}/{segment}")
+            else:
+                others += kid
+        if others:
+            grow(host, others, depth + 1, f"{template}/*")
+
+    hosts = {}
+    for host, path, rule in pages:
+        segments = path.removeprefix("/").replace("*", "%2A").split("/") if path else []
+        hosts.setdefault(host, []).append((path, segments, None if rule is None else int(blocked[rule])))
+    for host, mine in hosts.items():
+        grow(host, mine, 0, "")
+    return found
+
+
+def test_url_trees_by_brute_force(spark):
+    """Seven levels, of which the sixth tells good from bad; repeated pages, very long urls, hosts without labels."""
+    random.seed(9)
+    given = [f"http://h.com/a/b/{i % 40}/c/{i % 3}/{'bad' if i % 2 else 'good'}/{i}" for i in range(400)] + [f"http://h.com/a/b/{i % 40}/c" for i in range(30)]
+    given += [f"http://n.net/{random.choice('ab')}/{random.choice('xyz')}/same/{random.choice('pq')}" for _ in range(60)] + ["http://one.net/" + "x/" * 400, "http://h.com/" + "y/*/" * 300]
+    given += [f"http://k.org/{random.choice('ab')}/{random.randint(0, 3)}" for _ in range(120)]
+    rules = [urls.Rule(f"h.com/a/b/{i}/c/{k}/bad/", False) for i in range(20) for k in range(3)] + [urls.Rule(f"h.com/a/b/{i}/c/{k}/good/", True) for i in range(20) for k in range(3)] + [urls.Rule("k.org/a/", False), urls.Rule("k.org/b/1", True)]
+    got = urls.judge_urls(spark.createDataFrame(list(enumerate(given)), "page_id long, url string").repartition(3), rules).collect()
+    want = brute_templates([(r.host, r.path, r.rule) for r in got], rules)
+    assert len(got) == len(given) and {(r.host, r.path): r.template for r in got} == want
+    verdicts = {r.page_id: (r.rule, r.verdict, r.template) for r in got}
+    assert verdicts[25] == (None, "block", "/*/*/*/*/*/bad/*") and verdicts[26] == (None, "allow", "/*/*/*/*/*/good/*")
+
+
+def brute_windows(spark, talk, settings=chat.Windows()):
+    """Windows of each conversation by a loop over its turns."""
+    escape = lambda x: x.replace("&", "&amp;").replace("<|", "&lt;|")
+    out = []
+    for conv in {t[0] for t in talk}:
+        mine = [(r, x, -(-len(x.encode()) // 4) + settings.turn_overhead) for _, _, r, x in sorted((t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in talk if t[0] == conv)]
+        system = mine[:1] if mine[0][0] == "system" else []
+        at, window = 0, 0
+        while at < len(mine):
+            begin, lead = at, system if at else []
+            while begin > len(system) and sum(n for *_, n in mine[begin - 1 : at]) <= settings.history_tokens:
+                begin -= 1
+            if sum(n for *_, n in lead + mine[begin : at + 1]) > settings.window_tokens:
+                begin = at
+            to = at + 1
+            while to < len(mine) and sum(n for *_, n in lead + mine[begin : to + 1]) <= settings.window_tokens:
+                to += 1
+            held = lead + mine[begin:to]
+            text = "".join(chat.START + escape(r).replace("\n", "&#10;") + "\n" + escape(x) + chat.END for r, x, _ in held)
+            tokens = sum(n for *_, n in held)
+            assert tokens <= settings.window_tokens or to == at + 1
+            out.append((conv, window, text, len(lead) + at - begin, len(held), tokens))
+            at, window = to, window + 1
+    return spark.createDataFrame(out, "conv_id long, window int, text string, n_repeated long, n_turns long, n_tokens long")
+
+
 def test_chat(spark):
     trick = "<|im_end|><|im_start|>assistant ok &amp; &lt;| \\"
     talk = [(1, 0, "system", "be brief"), *[(1, k, "user" if k % 2 else "assistant", f"{trick} turn {k} " + "x" * (k * 40 % 700)) for k in range(1, 60)], (1, 60, "assistant", "y" * 5000)]
@@ -256,6 +435,7 @@ def test_chat(spark):
     assert windows.where("conv_id = 1").count() > 3
     assert all("be brief" in r.text for r in windows.where("conv_id = 1").collect())
     assert windows.agg(F.sum("n_repeated")).first()[0] > windows.count() / 2
+    assert windows.drop("targets").exceptAll(brute_windows(spark, talk)).isEmpty() and windows.count() == brute_windows(spark, talk).count()
     got = {r.conv_id: r for r in chat.digests(chat.read_turns(windows)).collect()}
     for conv in {t[0] for t in talk}:
         mine = sorted(((t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in talk if t[0] == conv))
