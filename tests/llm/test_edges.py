@@ -453,7 +453,7 @@ def test_neighbours(spark):
     x[40] = x[20]  # a tie between 20 and 40 for others
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [1.0, None] * 8), (9080, [1.0]), (None, x[0].tolist()), (7, x[7].tolist())]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("codes", F.lit(1)).repartition(3)
-    small = additive.Settings(block_rows=150, block_queries=10, shortlist=60, sample=400, codewords=64)
+    small = additive.Settings(block_rows=150, block_queries=10, shortlist=25, sample=400, codewords=64)
     got = {}
     for r in additive.nearest(df, settings=small).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -470,23 +470,43 @@ def test_neighbours(spark):
     assert additive.nearest(df.where("vec_id < 5")).count() == 4
 
 
-def test_neighbours_in_large_groups_of_copies(spark):
-    """Groups of exact and near copies above the shortlist, in several blocks: all ids and scores are those of brute force."""
+def copies(spark):
+    """2,400 vectors with groups of 800 exact and 800 near copies, the ids and embeddings as a table, and brute-force neighbours."""
     random_ = np.random.default_rng(8)
     x = random_.normal(size=(2400, 16)).astype(np.float32)
     x[random_.permutation(2400)[:800]] = x[0]
     near = random_.permutation(2400)[:800]
     x[near] = x[1] + random_.normal(scale=0.002, size=(800, 16)).astype(np.float32)
     x[[0, 100, 200]], x[[300, 400]] = x[0], x[near[:2]]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
-    small = additive.Settings(block_rows=1200, shortlist=40, sample=400, codewords=64)
+    want = {}
+    for q in range(0, 2400, 100):
+        exact = (x.astype(np.float64) * x[q].astype(np.float64)).sum(axis=1)
+        want[q] = [int(i) for i in np.argsort(-exact, kind="stable") if i != q][:20]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3), want
+
+
+def neighbours(df, settings):
     got = {}
-    for r in additive.nearest(df, every=100, settings=small).orderBy("query_id", "rank").collect():
+    for r in additive.nearest(df, every=100, settings=settings).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    assert sorted(got) == list(range(0, 2400, 100))
-    for q, found in got.items():
-        exact = (x.astype(np.float64) * x[q].astype(np.float64)).sum(axis=1)
-        assert found == [int(i) for i in np.argsort(-exact, kind="stable") if i != q][:20], q
+    return got
+
+
+def test_neighbours_in_large_groups_of_copies(spark):
+    """Groups of exact and near copies above the shortlist, in several blocks: with a wide margin all ids are those of brute force."""
+    df, want = copies(spark)
+    assert neighbours(df, additive.Settings(block_rows=1200, shortlist=40, sample=400, codewords=64, spread=12)) == want
+
+
+def test_neighbours_recall_with_copies(spark):
+    """The same with the query's own settings: recall by id of 0.9 or more for queries in the groups of copies and outside."""
+    df, want = copies(spark)
+    got = neighbours(df, additive.Settings())
+    recall = {q: len(set(got[q]) & set(want[q])) / 20 for q in want}
+    exact = {q for q, found in want.items() if 0 in found or q in (0, 100, 200)}
+    assert sorted(got) == sorted(want) and exact
+    for queries in (exact, set(want) - exact):
+        assert sum(recall[q] for q in queries) >= 0.95 * len(queries), recall
 
 
 def test_beam_search_is_better_than_greedy():
