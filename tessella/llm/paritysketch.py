@@ -19,6 +19,8 @@ of n near copies costs about n verifications instead of n squared.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +29,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch, shingles, textscan
+from .common import is_small
 from .components import components
 
 #: Bits of a block. Blocks are sparse, so their width costs nothing and makes equal blocks of different sets rare.
 BLOCK_BITS = 1 << 16
-#: Bits of the whole sketch that is compared before exact sets are.
-SKETCH_WORDS = 16
+#: Bits of the smallest sketch of a whole set, which is compared before exact sets are.
+SKETCH_BITS = 1024
+#: Members of a block in a row, and nodes of a block that one task compares with all of them.
+MEMBERS, ASKING = 1 << 14, 1 << 12
+#: Entries of blocks that a task groups, on average.
+GROUPED = 1 << 21
 #: Entries a worker holds before it hands them on.
 HELD = 1 << 20
-#: Rows up to which the documents that have candidates are broadcast to find their texts; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
 
 
 def most_different(a, b, percent: int):
@@ -108,10 +113,30 @@ def _names(band: np.ndarray, block: np.ndarray, bits: np.ndarray, pattern: np.nd
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
-    """A parity sketch of fixed size for the whole set."""
-    bit = (hashes >> np.uint64(7)) % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) % 2
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    """A parity sketch of the whole set, with a bit or more for each element the largest set of its band has.
+
+    The sketches of unrelated sets then differ in nearly half of these bits, more than linked sets may differ in, whatever the size.
+    Halves of a sketch, one flipped by the other, are the sketch of half the bits.
+    """
+    bits = max(SKETCH_BITS, 1 << len(hashes).bit_length())
+    bit = (hashes >> np.uint64(7)) % np.uint64(bits)
+    odd = np.bincount(bit.astype(np.int64), minlength=bits) % 2
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(column: list[bytes], words: int | None = None) -> np.ndarray:
+    """Sketches as rows of ``words`` 64-bit numbers, by default those of the smallest; longer ones are folded."""
+    sizes = np.array([len(x) // 8 for x in column], np.int64)
+    words = words or int(sizes.min())
+    out = np.zeros((len(column), words), np.uint64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        rows = np.frombuffer(b"".join([column[i] for i in at.tolist()]), "<u8").reshape(len(at), size)
+        while rows.shape[1] > words:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[at] = rows
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -119,40 +144,74 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _routes(spark: SparkSession) -> list[int]:
-    """For each shuffle partition a key that hash partitioning sends there."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _routes(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` shuffle partitions a key that hash partitioning sends there."""
     ids = spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id"))
     found = {r.p: r.id for r in ids.collect()}
     return [found.get(p, p) for p in range(n)]
 
 
-def sets_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (shingles) and node (the name of the set, null for an empty one) of each row."""
+def sets_table(docs: DataFrame, id_col: str, text_col: str, percent: int, seed: int) -> DataFrame:
+    """doc_id, n (shingles), node and check (the names of the set, null for an empty one) and ``blocks`` of each row.
+
+    ``blocks`` are the names of the blocks that the set is entered in, given for the first of equal sets of a part and null for the others.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, node = [], []
-            for found in shingles.shingle_sets(batch.column(1)):
+        entered: set[int] = set()
+        for batch in (whole.slice(i, 1024) for whole in batches for i in range(0, whole.num_rows, 1024)):
+            n, node, check = [], [], []
+            blocks: list[bytes | None] = [None] * batch.num_rows
+            sets: list[np.ndarray] = []
+            places: list[int] = []
+            waiting = 0
+
+            def enter() -> None:
+                which, name = signatures(sets, percent)
+                order = np.argsort(which, kind="stable")
+                name = name[order].astype("<u8")
+                cuts = np.searchsorted(which[order], np.arange(len(sets) + 1)).tolist()
+                for place, a, b in zip(places, cuts, cuts[1:], strict=False):
+                    blocks[place] = name[a:b].tobytes()
+
+            for i, found in enumerate(shingles.shingle_sets(batch.column(1))):
                 n.append(len(found))
-                node.append(shingles.set_identity(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
+                if not len(found):
+                    node.append(None)
+                    check.append(None)
+                    continue
+                name, second = shingles.set_names(found, seed)
+                node.append(name)
+                check.append(second)
+                if name in entered:
+                    continue
+                entered.add(name)
+                sets.append(found)
+                places.append(i)
+                waiting += len(found)
+                if waiting > 1 << 17:
+                    enter()
+                    sets, places, waiting = [], [], 0
+            if sets:
+                enter()
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(blocks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "check", "blocks"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, node long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, node long, check long, blocks binary")
 
 
-def _entries(docs: DataFrame, text_col: str, percent: int) -> DataFrame:
-    """Packed entries (48 bits of a block's name, node) by shuffle partition; equal sets of a part are entered once."""
-    routes = np.array(_routes(docs.sparkSession), np.int64)
+def _entries(table: DataFrame, tasks: int) -> DataFrame:
+    """Packed entries (48 bits of a block's name, node) by shuffle partition, of which there are ``tasks``."""
+    routes = np.array(_routes(table.sparkSession, tasks), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entered: set[int] = set()
-        names: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
+        names: list[bytes] = []
+        nodes: list[int] = []
 
         def handed() -> pa.RecordBatch:
-            name, node = np.concatenate(names), np.concatenate(nodes)
+            name = np.frombuffer(b"".join(names), "<u8")
+            node = np.repeat(np.array(nodes, np.int64), [len(x) // 8 for x in names])
             to = (name % np.uint64(len(routes))).astype(np.int64)
             order = np.argsort(to, kind="stable")
             name, node, to = name[order] >> np.uint64(16), node[order], to[order]
@@ -163,42 +222,26 @@ def _entries(docs: DataFrame, text_col: str, percent: int) -> DataFrame:
                 [pa.array(routes[to[cuts[:-1]]]), *(pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (low, high, node.astype("<i8")))], ["route", "low", "high", "nodes"]
             )
 
-        def enter(sets: list[np.ndarray], ids: list[int]) -> None:
-            which, name = signatures(sets, percent)
-            order = np.argsort(which, kind="stable")
-            nodes.append(np.array(ids, np.int64)[which[order]])
-            names.append(name[order])
-
+        held = 0
         for batch in batches:
-            sets: list[np.ndarray] = []
-            ids: list[int] = []
-            waiting = 0
-            for found in shingles.shingle_sets(batch.column(0)):
-                if not len(found):
-                    continue
-                node = shingles.set_identity(found)
-                if node in entered:
-                    continue
-                entered.add(node)
-                sets.append(found)
-                ids.append(node)
-                waiting += len(found)
-                if waiting > 1 << 17:
-                    enter(sets, ids)
-                    sets, ids, waiting = [], [], 0
-            if sets:
-                enter(sets, ids)
-            if sum(map(len, names)) > HELD:
-                yield handed()
-                names, nodes = [], []
-        if names:
+            for node, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                nodes.append(node)
+                names.append(blocks)
+                held += len(blocks) // 8
+                if held > HELD:
+                    yield handed()
+                    names, nodes, held = [], [], 0
+        if held:
             yield handed()
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "route long, low binary, high binary, nodes binary")
+    return table.where("blocks IS NOT NULL").select("node", "blocks").mapInArrow(run, "route long, low binary, high binary, nodes binary")
 
 
-def _groups(entries: DataFrame) -> DataFrame:
-    """``members`` (sorted nodes) of each block that two nodes or more have, and ``n``, the blocks with just these."""
+def _groups(entries: DataFrame, tasks: int) -> DataFrame:
+    """The blocks that two nodes or more have: ``g`` names the set of members, ``n`` says how many blocks have just these.
+
+    A row holds the smallest node, ``leader``, and some ``members``, the others; blocks with many take several rows, of which one is the ``first``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], []]
@@ -226,14 +269,28 @@ def _groups(entries: DataFrame) -> DataFrame:
             if len(members) > 1:
                 key = members.tobytes()
                 found[key] = found.get(key, 0) + 1
-        items = list(found.items())
-        for i in range(0, len(items), 4096):
-            part = items[i : i + 4096]
-            offsets = np.concatenate([[0], np.cumsum([len(k) // 8 for k, _ in part])])
-            members = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(k for k, _ in part), "<i8")))
-            yield pa.RecordBatch.from_arrays([members, pa.array([n for _, n in part], pa.int64())], ["members", "n"])
-
-    return entries.repartition("route").mapInArrow(run, "members array<long>, n long")
+        rows: list[tuple[int, int, np.ndarray, int, bool]] = []
+        waiting = 0
+
+        def made() -> pa.RecordBatch:
+            offsets = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
+            members = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([r[2] for r in rows])))
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)] + [members, pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.bool_())]
+            return pa.RecordBatch.from_arrays(columns, ["g", "leader", "members", "n", "first"])
+
+        for key, n in found.items():
+            members = np.frombuffer(key, "<i8")
+            g = shingles.set_names(members.view(np.uint64))[0]
+            for a in range(1, len(members), MEMBERS):
+                rows.append((g, int(members[0]), members[a : a + MEMBERS], n, a == 1))
+                waiting += len(rows[-1][2])
+                if len(rows) >= 4096 or waiting >= 1 << 18:
+                    yield made()
+                    rows, waiting = [], 0
+        if rows:
+            yield made()
+
+    return entries.repartition(tasks, "route").mapInArrow(run, "g long, leader long, members array<long>, n long, first boolean")
 
 
 def _with_leader(groups: DataFrame) -> DataFrame:
@@ -243,87 +300,95 @@ def _with_leader(groups: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = batch.column(0).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            nodes = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            first = np.cumsum(sizes) - sizes
-            others = np.ones(len(nodes), bool)
-            others[first] = False
-            pairs = np.stack([nodes[others], np.repeat(nodes[first], sizes - 1)], 1)
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            leader, n = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 2))
+            pairs = np.stack([batch.column(1).flatten().to_numpy(zero_copy_only=False), leader], 1)
             pairs, inverse = np.unique(pairs, axis=0, return_inverse=True)
-            sums = np.bincount(inverse.ravel(), np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes - 1)).astype(np.int64)
+            sums = np.bincount(inverse.ravel(), n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(sums)], ["u", "v", "n"])
 
-    return groups.mapInArrow(run, "u long, v long, n long")
+    return groups.select("leader", "members", "n").mapInArrow(run, "u long, v long, n long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) that are linked: by size and sketch, whose distance is a lower bound, then on the sets."""
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(i, 4096) for whole in batches for i in range(0, whole.num_rows, 4096)):
+            a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            words = np.minimum([len(x) // 8 for x in a], [len(x) // 8 for x in b])
+            most = most_different(batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            keep = np.zeros(batch.num_rows, bool)
+            for size in np.unique(words).tolist():
+                at = np.flatnonzero(words == size)
+                one, other = (sketches([x[i] for i in at.tolist()], size) for x in (a, b))
+                keep[at] = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64) <= most[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [linked(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), percent) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    brief = sets.select("node", "size", *[f"s{i}" for i in range(SKETCH_WORDS)])
-    mine = lambda c, side: brief.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{side}") for x in brief.columns[1:]])
-    near = pairs.select("u", "v").join(mine("u", "a"), "u").join(mine("v", "b"), "v")
-    most = F.floor((F.col("size_a") + F.col("size_b")) * (100 - percent) / (100 + percent))
-    distance = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    near = near.where((100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")) & (distance <= most)).select("u", "v")
+    mine = lambda c, side: sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    both = pairs.select("u", "v").join(mine("u", "a"), "u").join(mine("v", "b"), "v")
+    alike = both.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    found = alike.select("u", "v", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(near, "u long, v long")
     whole = lambda c, out: sets.select(F.col("node").alias(c), F.col("hashes").alias(out))
-    return near.join(whole("u", "a"), "u").join(whole("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return found.join(whole("u", "a"), "u").join(whole("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _sets_of(docs: DataFrame, chosen: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """The sets of the nodes in ``chosen`` (doc_id, node): size, sketch as numbers s0, s1, ..., and hashes."""
+def _sets_of(docs: DataFrame, chosen: DataFrame, text_col: str, id_col: str, seed: int) -> DataFrame:
+    """The sets of the nodes in ``chosen`` (doc_id, node), a written table: size, sketch and hashes."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    few = chosen.count() <= BROADCAST_ROWS
-    wanted = texts.join(F.broadcast(chosen) if few else chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
+    named = F.broadcast(chosen) if is_small(chosen) else chosen
+    wanted = texts.join(named, texts["doc_id"].eqNullSafe(chosen["doc_id"])).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             found = list(shingles.shingle_sets(batch.column(1)))
-            names = np.array([shingles.set_identity(s) if len(s) else -1 for s in found], np.int64)
+            names = np.array([shingles.set_names(s, seed)[0] if len(s) else -1 for s in found], np.int64)
             right = np.flatnonzero(names == batch.column(0).to_numpy(zero_copy_only=False))  # equal ids can have several texts
             found = [found[i] for i in right.tolist()]
-            sketch = np.frombuffer(b"".join(map(sketch_of, found)), ">i8").astype(np.int64).reshape(len(found), SKETCH_WORDS)
-            columns = [pa.array(names[right]), pa.array([len(s) for s in found], pa.int64()), *(pa.array(sketch[:, i].copy()) for i in range(SKETCH_WORDS)), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "size", *[f"s{i}" for i in range(SKETCH_WORDS)], "hashes"])
+            hashes = [s.astype("<u8").tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[right]), pa.array([len(s) for s in found], pa.int64()), pa.array(list(map(sketch_of, found)), pa.binary()), pa.array(hashes, pa.binary())], ["node", "size", "sketch", "hashes"]
+            )
 
-    made = wanted.mapInArrow(run, "node long, size long, " + ", ".join(f"s{i} long" for i in range(SKETCH_WORDS)) + ", hashes binary")
-    return made.dropDuplicates(["node"])
+    return wanted.mapInArrow(run, "node long, size long, sketch binary, hashes binary").dropDuplicates(["node"])
 
 
 def _across(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs (u, v) of a block that are in different components and near enough by size and sketch.
 
-    ``placed`` has g, node, root, size and the sketch. With ``nearest`` a node names only the nearest it could be linked to. All
-    sketches of a block are compared in memory, but only pairs that pass become rows.
+    ``placed`` has g, slice, asks, node, root, size and sketch: in each slice of a block some of its nodes ask all others. With ``nearest``
+    a node names only the nearest it could be linked to. Sketches are compared in memory, only pairs that pass become rows.
     """
-    words = [f"s{i}" for i in range(SKETCH_WORDS)]
 
     def pairs(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, root, size = (block.column(c).to_numpy() for c in ("node", "root", "size"))
-        sketch = [block.column(c).to_numpy().view(np.uint64) for c in words]
+        node, root, size, asks = (block.column(c).to_numpy() for c in ("node", "root", "size", "asks"))
+        sketch = np.ascontiguousarray(sketches(block.column("sketch").to_pylist()).T)
+        asking = np.flatnonzero(asks)
         found_u, found_v = [], []
-        for a in range(0, len(node), 512):
-            rows = slice(a, a + 512)
+        step = max(1, (1 << 21) // len(node))
+        for a in range(0, len(asking), step):
+            rows = asking[a : a + step]
             fits = root[rows, None] != root[None, :]
             fits &= 100 * np.minimum(size[rows, None], size[None, :]) >= percent * np.maximum(size[rows, None], size[None, :])
             if not fits.any():
                 continue
-            distance = np.zeros(fits.shape, np.int16)
+            distance = np.zeros(fits.shape, np.int32)
             for word in sketch:
                 distance += np.bitwise_count(word[rows, None] ^ word[None, :])
             fits &= distance <= most_different(size[rows, None], size[None, :], percent)
             if nearest:
-                distance[~fits] = np.iinfo(np.int16).max
+                distance[~fits] = np.iinfo(np.int32).max
                 some = np.flatnonzero(fits.any(axis=1))
-                found_u.append(node[a + some])
+                found_u.append(node[rows[some]])
                 found_v.append(node[distance[some].argmin(axis=1)])
             else:
                 i, j = np.nonzero(fits)
-                found_u.append(node[a + i])
+                found_u.append(node[rows[i]])
                 found_v.append(node[j])
         if not found_u:
             return node[:0], node[:0]
@@ -332,31 +397,49 @@ def _across(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(ready: pa.Table) -> pa.RecordBatch:
-            g = ready.column("g").to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])).tolist() + [len(g)]
+            g, part = (ready.column(c).to_numpy() for c in ("g", "slice"))
+            cuts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (part[1:] != part[:-1])])).tolist() + [len(g)]
             both = [pairs(ready.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
             u, v = (np.concatenate([x[k] for x in both]) for k in (0, 1))
             unique = np.unique(np.stack([u, v], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(unique[:, 0].copy()), pa.array(unique[:, 1].copy())], ["u", "v"])
 
-        held: pa.Table | None = None  # the block that the next batch may go on with
+        held: list[pa.RecordBatch] = []  # the slice that the next batch may go on with
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = pa.Table.from_batches([batch])
-            held = now if held is None else pa.concat_tables([held, now]).combine_chunks()
-            g = held.column("g").to_numpy()
-            begin = int(np.searchsorted(g, g[-1]))
+            key = lambda b, i: (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+            if held and key(batch, 0) != key(held[0], 0):
+                yield found(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            g, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = np.flatnonzero((g == g[-1]) & (part == part[-1]))
+            begin = int(last[0])
             if begin:
-                yield found(held.slice(0, begin))
-                held = held.slice(begin)
-        if held is not None:
-            yield found(held)
+                yield found(pa.Table.from_batches([*held, batch.slice(0, begin)]).combine_chunks())
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks())
 
-    rows = placed.select("g", "node", "root", "size", *words).repartition("g").sortWithinPartitions("g", "node")
+    rows = placed.select("g", "slice", "asks", "node", "root", "size", "sketch").repartition("g", "slice").sortWithinPartitions("g", "slice", "node")
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """``placed`` (g, node, root) of the blocks with nodes of several components, with ``slice`` and ``asks``.
+
+    The nodes of a block's largest component needn't ask, as every pair of components has one that does. The others are dealt over
+    slices, each of which meets the whole block in a task of its own.
+    """
+    parts = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k"))
+    blocks = parts.groupBy("g").agg(F.max_by("root", F.struct("k", "root")).alias("main"), (F.sum("k") - F.max("k")).alias("asking")).where("asking > 0")
+    slices = F.ceil(F.col("asking") / ASKING).cast("int")
+    rows = placed.join(blocks.select("g", "main", slices.alias("slices")), "g").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    mine = F.pmod(F.xxhash64("node"), F.col("slices")) == F.col("slice")
+    return rows.select("g", "slice", "node", "root", (mine & (F.col("root") != F.col("main"))).alias("asks"))
+
+
 def _relabelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes are in different components, with their components cu and cv."""
     side = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
@@ -366,7 +449,9 @@ def _relabelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _merged(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """The components when ``links`` (cu, cv) between components are added."""
+    """The components when ``links`` (cu, cv) between components, a written table, are added."""
+    if links.isEmpty():
+        return roots
     above = components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left").select("node", F.coalesce("_r", "root").alias("root"))
     new = above.join(roots, "node", "left_anti")
@@ -382,31 +467,42 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * null, empty and blank texts: no shingles, linked with nothing, their own id;
     * texts of fewer than five words: one shingle, the whole sequence;
     * null ids: linked like others but never a component's id, unless it holds nothing else (then null);
-    * repeated rows and equal texts: one node, kept row for row; an empty table: an empty result;
+    * repeated rows and equal texts: one node, kept row for row; an empty table: an empty result; very long texts: whole;
     * other columns are not read, so their names can't clash.
     """
-    table = scratch.written(sets_table(docs, id_col, text_col), "sets")
-    nodes = scratch.written(table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
-    groups = scratch.written(_groups(_entries(docs, text_col, percent)), "groups")
+    for seed in itertools.count():
+        table = scratch.written(sets_table(docs, id_col, text_col, percent, seed), "sets")
+        named = table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), (F.min("check") != F.max("check")).alias("clash"))
+        nodes = scratch.written(named, "nodes")
+        if nodes.where("clash").isEmpty():  # different sets with one name: all get others
+            break
+    nodes = nodes.drop("clash")
+    entries = table.agg(F.sum(F.octet_length("blocks"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries / 8 / GROUPED))
+    groups = scratch.written(_groups(_entries(table, tasks), tasks), "groups")
     stars = scratch.written(_with_leader(groups).groupBy("u", "v").agg(F.sum("n").alias("n")), "stars")
     ends = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
-    sets = scratch.written(_sets_of(docs, nodes.join(ends, "node").select("doc_id", "node"), text_col, id_col), "hashes")
+    chosen = scratch.written(nodes.join(ends, "node").select("doc_id", "node"), "chosen")
+    sets = scratch.written(_sets_of(docs, chosen, text_col, id_col, seed), "hashes")
 
     best = stars.groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
     links = scratch.written(_verified(best, sets, percent), "links")
     roots = scratch.written(components(links), "roots")
     tried = _relabelled(stars, roots).join(best, ["u", "v"], "left_anti")
-    links = _relabelled(_verified(tried, sets, percent), roots)
+    links = scratch.written(_relabelled(_verified(tried, sets, percent), roots), "links")
     roots = _merged(links, roots)
 
     # what is left: blocks whose nodes are still in different components; first the nearest of each node, then all
-    exploded = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
-    brief = sets.select("node", "size", *[f"s{i}" for i in range(SKETCH_WORDS)])
+    members = F.when(F.col("first"), F.concat(F.array("leader"), F.col("members"))).otherwise(F.col("members"))
+    exploded = groups.select("g", F.explode(members).alias("node")).distinct()
+    brief = sets.select("node", "size", "sketch")
     for nearest in (True, False):
         placed = exploded.join(roots, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("g")
-        across = _across(placed.join(mixed, "g").join(brief, "node"), percent, nearest).distinct()
-        links = _relabelled(_verified(across.join(stars.select("u", "v"), ["u", "v"], "left_anti"), sets, percent), roots)
+        mixed = scratch.written(_mixed(placed), "mixed")
+        if mixed.isEmpty():
+            break
+        across = _across(mixed.join(brief, "node"), percent, nearest).distinct()
+        links = scratch.written(_relabelled(_verified(across.join(stars.select("u", "v"), ["u", "v"], "left_anti"), sets, percent), roots), "links")
         roots = _merged(links, roots)
 
     named = nodes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
@@ -428,7 +524,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def against(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
         named = ids.select(F.col("doc_id").alias("_left"))
-        return rows.join(F.broadcast(named) if ids.count() <= BROADCAST_ROWS else named, rows[id_col] == F.col("_left"), how)
+        return rows.join(F.broadcast(named) if is_small(ids) else named, rows[id_col] == F.col("_left"), how)
 
     stay = against(docs, leave, "left_anti")
     if again.isEmpty():

@@ -34,7 +34,30 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased, cut at ASCII white space) and where each row's words begin."""
+    """Hashes of all words (A-Z lower-cased, cut at ASCII white space) and where each row's words begin.
+
+    A long array is worked on in pieces that end with white space, so what is held beside it are its words' hashes.
+    """
+    if len(data) > 2 * PIECE and len(bounds) == 2:
+        found, at = [], 0
+        while at < len(data):
+            to = at + PIECE
+            while to < len(data):
+                gap = np.flatnonzero(_SPACE[data[to : to + PIECE]])
+                if len(gap):
+                    to += int(gap[0])
+                    break
+                to += PIECE
+            to = min(to, len(data))
+            found.append(word_hashes_of(data[at:to], np.array([0, to - at]))[0])
+            at = to
+        words = np.concatenate(found)
+        return words, np.array([0, len(words)])
+    return word_hashes_of(data, bounds)
+
+
+def word_hashes_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_hashes` of an array that is worked on as a whole."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
@@ -50,6 +73,10 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return textscan.span_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, bounds)
 
 
+#: Bytes of a long row that are worked on at once.
+PIECE = 1 << 20
+
+
 def shingle_sets(column: pa.Array, size: int = 5, at_once: int = 1 << 18) -> Iterator[np.ndarray]:
     """For each row of a string column the sorted distinct hashes of its shingles.
 
@@ -82,8 +109,13 @@ def shingle_sets(column: pa.Array, size: int = 5, at_once: int = 1 << 18) -> Ite
         row = to
 
 
-def set_identity(hashes: np.ndarray) -> int:
-    """A 63-bit name for a set of hashes: equal sets have equal names; two of a billion different sets share one with a probability of 5 %."""
-    twice = textscan.finalised(hashes ^ _SEED)
-    both = textscan.finalised(hashes.sum(dtype=np.uint64, keepdims=True) ^ (twice.sum(dtype=np.uint64, keepdims=True) * _SEED))
-    return int(both[0] >> np.uint64(1))
+def set_names(hashes: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two 63-bit names for a set of hashes, independent of each other; equal sets have equal names.
+
+    Sets are told apart by the first; the second shows where it is the same for different sets, and another ``seed`` gives others.
+    """
+    first = textscan.finalised(hashes ^ (_SEED + np.uint64(seed)))
+    second = textscan.finalised(hashes * _SEED + np.uint64(2 * seed + 1))
+    both = np.array([first.sum(dtype=np.uint64), second.sum(dtype=np.uint64)])
+    name, check = (textscan.finalised(both) >> np.uint64(1)).tolist()
+    return name, check
