@@ -19,8 +19,10 @@ import numpy as np
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Code points that are worked on at once; a longer text is cut between two words.
+#: Code points that are worked on at once; a longer text is cut between two pre-tokens.
 AT_ONCE = 1 << 18
+#: Powers of the hash's base that a process keeps.
+POWERS = 1 << 20
 #: The characters that stand for the bytes 0 to 255 in byte-level vocabularies: itself if printable, else the next from 256 on.
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -61,15 +63,30 @@ def finalised(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans of an array of code points or bytes, by one prefix sum over the array."""
+    """64-bit hashes of the spans of an array of code points or bytes, in ascending order, by prefix sums over the array.
+
+    The array is worked on POWERS units at a time, so a long one needs no more memory than its spans do.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(max(1 << 12, len(units) + 1))
-    terms = finalised(units.astype(np.uint64) + np.uint64(_BASE))
-    terms *= power[: len(units)]
-    sums = np.zeros(len(units) + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
+    power, inverse = _powers(min(max(1 << 12, len(units) + 1), POWERS))
+    at_start, at_end = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    factors = np.zeros(len(units) // POWERS + 1, np.uint64)  # of the inverse, for each block
+    carry, scale, back = 0, 1, 1
+    for k in range(len(factors)):
+        block = units[k * POWERS : (k + 1) * POWERS]
+        terms = finalised(block.astype(np.uint64) + np.uint64(_BASE))
+        terms *= power[: len(block)]
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        sums *= np.uint64(scale)
+        sums += np.uint64(carry)
+        for places, out in ((starts, at_start), (ends, at_end)):
+            some = slice(*np.searchsorted(places, [k * POWERS, (k + 1) * POWERS + (k + 1 == len(factors))]))
+            out[some] = sums[places[some] - k * POWERS]
+        factors[k] = back
+        carry, scale, back = int(sums[-1]), scale * pow(_BASE, POWERS, 1 << 64) & _WRAP, back * pow(_BASE, -POWERS, 1 << 64) & _WRAP
+    h = (at_end - at_start) * inverse[starts % POWERS] * factors[starts // POWERS]
     out = finalised(h + (ends - starts).astype(np.uint64) * np.uint64(_MIX2))
     out[out == 0] = 1  # 0 marks an empty slot
     return out
@@ -177,19 +194,24 @@ class Scheme:
 
 
 def cut(text: str, size: int = AT_ONCE) -> list[str]:
-    """The text in pieces of about ``size``, cut before blanks between ASCII letters, where every pre-token ends."""
+    """The text in pieces of about ``size``, cut where a pre-token ends whatever stands around: before white space that follows
+    something else, and where a run of letters or numbers ends.
+
+    A piece is longer only where a single pre-token is.
+    """
     out, at = [], 0
     while len(text) - at > 2 * size:
-        to = at + size
-        while True:
-            to = text.find(" ", to)
-            if to < 0 or to + 1 >= len(text):
-                to = -1
-                break
-            if text[to - 1].isascii() and text[to - 1].isalpha() and text[to + 1].isascii() and text[to + 1].isalpha():
+        to, look = at + size, 256
+        while to < len(text):
+            kind = classes()[np.frombuffer(text[to - 1 : to + look].encode("utf-32-le", "surrogatepass"), np.uint32)]
+            before, after = kind[:-1], kind[1:]
+            ends = np.flatnonzero((before != after) & ((after == SPACE) | (before == LETTER) | (before == NUMBER)))
+            if len(ends):
+                to += int(ends[0])
                 break
-            to += 1
-        if to < 0:
+            to += look
+            look *= 2
+        if to >= len(text):
             break
         out.append(text[at:to])
         at = to
