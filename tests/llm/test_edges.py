@@ -215,6 +215,45 @@ def test_jaccard_by_brute_force(spark):
     assert 20 < len({c for _, _, c in want}) < len(data) - 20
 
 
+def family(size, copies, seed):
+    """Near copies of a text of ``size`` words, some within the threshold of one another and some beyond."""
+    random_ = random.Random(seed)
+    base = [f"b{seed}_{k}" for k in range(size)]
+    out = []
+    for _ in range(copies):
+        text = list(base)
+        for _ in range(random_.choice([0, size // 100, size // 60, size // 40, size // 20])):
+            text[random_.randrange(size)] = f"x{random_.random()}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_jaccard_of_large_sets(spark):
+    """Sets of some thousand shingles: sketches of unrelated ones, or of ones below the threshold, still differ in more bits than linked ones may."""
+    texts = [t for size, seed in ((5000, 1), (5000, 2), (9000, 3), (4100, 4)) for t in family(size, 7, seed)]
+    data = list(enumerate(texts))
+    got = rows(paritysketch.similar_components(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id"))
+    assert got == brute_components(data)
+    sets = [np.sort(np.random.default_rng(i).integers(0, 1 << 63, 5000).astype(np.uint64)) for i in range(2)]
+    one, other = paritysketch.sketches([paritysketch.sketch_of(x) for x in sets])
+    assert np.bitwise_count(one ^ other).sum() > 1.5 * paritysketch.most_different(5000, 5000, 80)
+    small = paritysketch.sketches([paritysketch.sketch_of(x) for x in (sets[0], sets[0][:100])])
+    assert small.shape[1] * 64 == paritysketch.SKETCH_BITS and np.bitwise_count(small[0] ^ small[1]).sum() <= 4900
+
+
+def test_jaccard_in_split_blocks(spark, monkeypatch):
+    """Blocks that take several rows and several tasks; different sets with one name get others."""
+    monkeypatch.setattr(paritysketch, "MEMBERS", 3)
+    monkeypatch.setattr(paritysketch, "ASKING", 2)
+    monkeypatch.setattr(paritysketch, "GROUPED", 50)
+    names = paritysketch.shingles.set_names
+    monkeypatch.setattr(paritysketch.shingles, "set_names", lambda x, seed=0: (names(x, seed)[0] % (2 if seed == 0 else 1 << 62), names(x, seed)[1]))
+    data = list(enumerate(t for seed in (1, 2) for t in family(120, 40, seed)))
+    out = paritysketch.similar_components(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).select("doc_id", "n_shingles", "component_id")
+    want = brute_components(data)
+    assert rows(out) == want and 4 < len({c for _, _, c in want}) < 70
+
+
 def test_block_distance_is_bounded():
     """Two sets that differ in few enough elements always agree on an entered block."""
     random.seed(2)

@@ -39,6 +39,36 @@ def test_cut_keeps_pretokens():
     assert len(scheme.tokens(pieces).starts) == len(scheme.tokens([text]).starts)
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_cut_keeps_pretokens_in_any_script(name):
+    """Texts without blanks between ASCII letters are cut too, and their pieces have the pre-tokens of the whole."""
+    path = public_tokenizers.path(name)
+    scheme, library = textscan.scheme(path), textscan.loaded(path)
+    random_ = random.Random(3)
+    pool = ["中文", "字", "，", "。", "12", "a", "don't", "'s", "x's1", "\n", " ", "  ", "é", "!", "नम", "\u0301"]
+    for k in range(60):
+        text = scheme.normalised("".join(random_.choice(pool) for _ in range(400)))
+        pieces = textscan.cut(text, 40)
+        assert "".join(pieces) == text and max(map(len, pieces)) < 120
+        tokens = scheme.tokens(pieces)
+        assert [tokens.word(i) for i in range(len(tokens.starts))] == [w for w in (scheme.tokens([text]).word(i) for i in range(len(scheme.tokens([text]).starts)))], text
+    assert len(textscan.cut("x" * 1000, 40)) == 1 and library
+
+
+def test_span_hashes_of_long_arrays(monkeypatch):
+    units = np.random.default_rng(1).integers(0, 0x10FFFF, 5000).astype(np.uint32)
+    starts = np.arange(0, 4990, 7)
+    ends = starts + 5
+    whole = textscan.span_hashes(units, starts, ends)
+    words = shingles.word_hashes(np.frombuffer(b"ab c  dE " * 300, np.uint8), np.array([0, 2700]))[0]
+    monkeypatch.setattr(textscan, "POWERS", 64)
+    monkeypatch.setattr(textscan, "_held_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    monkeypatch.setattr(shingles, "PIECE", 100)
+    assert (textscan.span_hashes(units, starts, ends) == whole).all()
+    assert (textscan.span_hashes(units, np.array([0]), np.array([5000])) != 0).all()
+    assert (shingles.word_hashes(np.frombuffer(b"ab c  dE " * 300, np.uint8), np.array([0, 2700]))[0] == words).all() and len(words) == 900
+
+
 def test_store_starts_anew_when_full():
     store = textscan.WordStore(textscan.loaded(public_tokenizers.path(FILES[0])), most=10)
     scheme = textscan.scheme(public_tokenizers.path(FILES[0]))
@@ -117,7 +147,7 @@ def test_shingles_by_brute_force():
     got = [set(s.tolist()) for s in shingles.shingle_sets(pa.array(texts), at_once=8)]
     assert [len(s) for s in got] == [0, 0, 1, 1, 1, 6, 2]
     assert got[2] == got[3] and got[4] < got[5]
-    assert [shingles.set_identity(np.array(sorted(s), np.uint64)) for s in got[2:4]][0] == shingles.set_identity(np.array(sorted(got[3]), np.uint64))
+    assert [shingles.set_names(np.array(sorted(s), np.uint64)) for s in got[2:4]][0] == shingles.set_names(np.array(sorted(got[3]), np.uint64))
 
 
 def test_components(spark):
