@@ -89,3 +89,15 @@ def house_bucket(a: Column, b: Column, small: int = 10) -> Column:
     """exact, small_gap, big_gap or missing, for two house numbers as text; a gap without numbers is big."""
     gap = F.abs(F.try_to_number(first_number(a), F.lit("999999999999")).cast("long") - F.try_to_number(first_number(b), F.lit("999999999999")).cast("long"))
     return F.when(a.isNull() | b.isNull(), "missing").when(a == b, "exact").when(F.coalesce(gap <= small, F.lit(False)), "small_gap").otherwise("big_gap")
+
+
+def replace_first(text: Column, pattern: str, to: str) -> Column:
+    """The text with the first match of a pattern replaced."""
+    return F.regexp_replace(text, f"(?s)^(.*?)(?:{pattern})", f"$1{to}")
+
+
+def replace_many(text: Column, words: dict[str, str]) -> Column:
+    """The text with literal words replaced, one after another."""
+    for word, to in words.items():
+        text = F.replace(text, F.lit(word), F.lit(to))
+    return text

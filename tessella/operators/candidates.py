@@ -65,14 +65,20 @@ def gram_df(postings: DataFrame) -> DataFrame:
     return postings.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"))
 
 
-def tfidf(postings: DataFrame, cap: float = 0.005, least: int = 20) -> DataFrame:
-    """Postings with ``w`` (L2-normalised tf * idf, idf = ln((1 + N) / (1 + df)) + 1) and ``rare`` (df within cap * N, or within ``least``)."""
-    n = postings.select("country", "entity_id").distinct().groupBy("country").agg(F.count(F.lit(1)).alias("n_docs"))
-    df = gram_df(postings).join(n, "country")  # few countries: adaptive execution broadcasts them
-    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    raw = postings.join(df, ["country", "gram"]).select("entity_id", "country", "gram", (F.col("tf") * idf).alias("x"), (F.col("df") <= F.greatest(F.lit(cap) * F.col("n_docs"), F.lit(least))).alias("rare"))
-    norm = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "entity_id").select("entity_id", "country", "gram", (F.col("x") / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("w"), "rare")
+def tfidf(postings: DataFrame, cap: float = 0.005, least: int = 20, idf_from: DataFrame | None = None) -> DataFrame:
+    """Postings with ``w`` (L2-normalised tf * idf, idf = ln((1 + N) / (1 + df)) + 1) and ``rare`` (df within cap * N, or within ``least``).
+
+    With ``idf_from`` the df and N of other postings are used; a gram they don't have has df 0. ``postings`` are read three times:
+    give a written table where they are costly.
+    """
+    known = postings if idf_from is None else idf_from
+    n = known.groupBy("country", "entity_id").agg(F.lit(1).alias("one")).groupBy("country").agg(F.count(F.lit(1)).alias("n_docs"))
+    df = F.coalesce("df", F.lit(0))
+    joined = postings.join(gram_df(known), ["country", "gram"], "inner" if idf_from is None else "left").join(F.broadcast(n), "country")  # a row for each country
+    x = F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + df)) + 1)
+    raw = joined.select("entity_id", "country", "gram", x.alias("x"), (df <= F.greatest(F.lit(cap) * F.col("n_docs"), F.lit(least))).alias("rare"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy("entity_id")))
+    return raw.select("entity_id", "country", "gram", (F.col("x") / F.when(norm > 0, norm).otherwise(1.0)).alias("w"), "rare")
 
 
 def rare_gram_scores(queries: DataFrame, pool: DataFrame) -> DataFrame:

@@ -12,17 +12,18 @@ from tessella.functions import text as T
 from tessella.functions.fold import unicode_fold
 from tessella.operators import blocking_metrics as B
 from tessella.operators import candidates as C
-from tessella.operators import cleaning, features, lookup, model, profile, quality, sampling
+from tessella.operators import cleaning, evaluation, features, lookup, model, ordering, profile, quality, reports, sampling
 from tessella.operators import decision as D
-from tessella.sources import tables
+from tessella.sources import files, tables
+from tessella.sources.stored import written as stored
 
 from .views import duck, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-THRESHOLD, CAP, MAX_BLOCK = 0.3, 2, 5
-KS = [1, 2, 3, 4]
-GRID = ([2, 4], [0, 2], [0, 3], [False, True])
+THRESHOLD = 0.3
+KS = [5, 10, 20, 50, 100, 200]
+GRID = ([20, 30, 50, 100], [0, 5, 10, 20], [0, 3, 5, 10], [False, True])
 RARE = (0.005, 20)
 #: Of the reference: rows that the exact cosine may reorder, and those that stay, for each pass.
 M1, M2, M4 = 300, 300, 100
@@ -125,13 +126,13 @@ def subset_check(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ candidates and recall
 
 SELECTED = f"""sel AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY CASE WHEN p1_rank_rev <= 3 THEN p1_cos END DESC NULLS LAST, cand_id) AS r FROM pairs)
-    WHERE coalesce(p1_rank <= 2, false) OR coalesce(p2_rank <= 1, false) OR in_p3 OR (coalesce(p1_rank_rev <= 3, false) AND r <= {CAP})
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY CASE WHEN p1_rank_rev <= {K4} THEN p1_cos END DESC NULLS LAST, cand_id) AS r FROM pairs)
+    WHERE coalesce(p1_rank <= {K1}, false) OR coalesce(p2_rank <= {K2}, false) OR in_p3 OR (coalesce(p1_rank_rev <= {K4}, false) AND r <= {P4_CAP})
 )"""
 
 
 def _selected(spark: SparkSession, sf: str) -> DataFrame:
-    return C.select_k(view(spark, sf, "pairs"), 2, 1, 3, CAP)
+    return C.select_k(view(spark, sf, "pairs"), K1, K2, K4, P4_CAP)
 
 
 @query("candidate_union", duck("pairs") + """SELECT s1_id, cand_id, p1_rank IS NOT NULL AS in_p1, p2_rank IS NOT NULL AS in_p2, in_p3, p1_rank_rev IS NOT NULL AS in_p4, coalesce(p1_rank, 0) AS p1_rank, coalesce(p2_rank, 0) AS p2_rank, coalesce(p1_rank_rev, 0) AS p1_rank_rev
@@ -148,9 +149,9 @@ def select_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("p4_cap", duck("pairs") + f"""SELECT s1_id, cand_id, CAST(p AS INTEGER) AS p4_pos FROM (
-    SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p1_cos DESC, cand_id) AS p FROM pairs WHERE p1_rank_rev <= 3) WHERE p <= {CAP}""")
+    SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p1_cos DESC, cand_id) AS p FROM pairs WHERE p1_rank_rev <= {K4}) WHERE p <= {P4_CAP}""")
 def p4_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return C.p4_cap(view(spark, sf, "pairs"), 3, CAP).select("s1_id", "cand_id", "p4_pos")
+    return C.p4_cap(view(spark, sf, "pairs"), K4, P4_CAP).select("s1_id", "cand_id", "p4_pos")
 
 
 @query("cand_stats", duck("pairs", "asked") + ", " + SELECTED + """, n AS (SELECT q.s1_id, count(s.cand_id) AS n FROM asked q LEFT JOIN sel s USING (s1_id) GROUP BY 1)
@@ -215,7 +216,7 @@ def marginal_contribution(spark: SparkSession, sf: str) -> DataFrame:
     return B.marginal_contribution(view(spark, sf, "pairs"))
 
 
-@query("missed_pairs", duck("pairs", "truth") + ", " + SELECTED + " SELECT t.s1_id, t.cand_id, t.country FROM truth t ANTI JOIN sel s ON s.s1_id = t.s1_id AND s.cand_id = t.cand_id")
+@query("missed_pairs", duck("pairs", "truth").replace("pairs AS (", "pairs AS MATERIALIZED (") + ", " + SELECTED.replace("sel AS (", "sel AS MATERIALIZED (") + " SELECT t.s1_id, t.cand_id, t.country FROM truth t ANTI JOIN sel s ON s.s1_id = t.s1_id AND s.cand_id = t.cand_id")
 def missed_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return B.missed_pairs(_selected(spark, sf), view(spark, sf, "truth")).select("s1_id", "cand_id", "country")
 
@@ -246,16 +247,16 @@ def p3_keys(spark: SparkSession, sf: str) -> DataFrame:
     return C.p3_keys(view(spark, sf, "chain"))
 
 
-@query("block_stats", duck("chain") + KEYS + """, b AS (SELECT country, key, count(*) AS n FROM keys GROUP BY 1, 2)
-    SELECT count(*) AS blocks, count(*) FILTER (n > 2) AS dropped_blocks, CAST(sum(CASE WHEN n > 2 THEN n ELSE 0 END) AS BIGINT) AS dropped_rows, max(n) AS largest FROM b""")
+@query("block_stats", duck("chain") + KEYS + f""", b AS (SELECT country, key, count(*) AS n FROM keys GROUP BY 1, 2)
+    SELECT count(*) AS blocks, count(*) FILTER (n > {P3_BLOCK}) AS dropped_blocks, CAST(sum(CASE WHEN n > {P3_BLOCK} THEN n ELSE 0 END) AS BIGINT) AS dropped_rows, max(n) AS largest FROM b""")
 def block_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return C.block_stats(C.p3_keys(view(spark, sf, "chain")), 2)
+    return C.block_stats(C.p3_keys(view(spark, sf, "chain")), P3_BLOCK)
 
 
 @query("p3_key_join", duck("chain") + KEYS + f""", q AS (SELECT * FROM keys WHERE CAST(entity_id AS BIGINT) % 3 = 0), p AS (SELECT *, count(*) OVER (PARTITION BY country, key) AS n FROM keys WHERE CAST(entity_id AS BIGINT) % 3 <> 0)
-    SELECT DISTINCT q.country, q.entity_id AS s1_id, p.entity_id AS cand_id FROM q JOIN p ON q.country = p.country AND q.key = p.key WHERE n <= {MAX_BLOCK}""")
+    SELECT DISTINCT q.country, q.entity_id AS s1_id, p.entity_id AS cand_id FROM q JOIN p ON q.country = p.country AND q.key = p.key WHERE n <= {P3_BLOCK}""")
 def p3_key_join(spark: SparkSession, sf: str) -> DataFrame:
-    return C.p3_key_join(*_sides(spark, sf), MAX_BLOCK)
+    return C.p3_key_join(*_sides(spark, sf), P3_BLOCK)
 
 
 # ------------------------------------------------------------------------------------------------ n-grams
@@ -277,7 +278,7 @@ def _postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    w = C.tfidf(_postings(spark, sf), *RARE)
+    w = stored(C.tfidf(_postings(spark, sf), *RARE), "weights")
     asks = F.startswith("entity_id", F.lit("S1-"))
     return w.where(asks), w.where(~asks)
 
@@ -297,24 +298,25 @@ def tfidf_idf(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.tfidf(_postings(spark, sf), *RARE))
 
 
-@query("rare_gram_retrieval", duck("ent") + WEIGHTS + """near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, cand_id) AS r FROM sc) WHERE r <= 20),
-    """ + COSINES + """ SELECT s1_id, cand_id, CAST(r AS INTEGER) AS rank, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(cosine, 9) DESC, cand_id) AS r FROM ex) WHERE r <= 5""")
+@query("rare_gram_retrieval", duck("ent") + WEIGHTS + f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, cand_id) AS r FROM sc) WHERE r <= {M1}),
+    """ + COSINES + f""" SELECT s1_id, cand_id, CAST(r AS INTEGER) AS rank, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(cosine, 9) DESC, cand_id) AS r FROM ex) WHERE r <= {K1}""")
 def rare_gram_retrieval(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(C.retrieve(*_weighted(spark, sf), 20, 5).select("s1_id", "cand_id", "rank", "cosine"))
+    return rounded(C.retrieve(*_weighted(spark, sf), M1, K1).select("s1_id", "cand_id", "rank", "cosine"))
 
 
-@query("reverse_topk", duck("ent") + WEIGHTS + """near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY round(score, 9) DESC, s1_id) AS r FROM sc) WHERE r <= 10),
-    """ + COSINES + """ SELECT s1_id, cand_id, CAST(r AS INTEGER) AS rank_rev, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY round(cosine, 9) DESC, s1_id) AS r FROM ex) WHERE r <= 3""")
+@query("reverse_topk", duck("ent") + WEIGHTS + f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY round(score, 9) DESC, s1_id) AS r FROM sc) WHERE r <= {M4}),
+    """ + COSINES + f""" SELECT s1_id, cand_id, CAST(r AS INTEGER) AS rank_rev, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY round(cosine, 9) DESC, s1_id) AS r FROM ex) WHERE r <= {K4}""")
 def reverse_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(C.reverse_retrieve(*_weighted(spark, sf), 10, 3).select("s1_id", "cand_id", "rank_rev", "cosine"))
+    return rounded(C.reverse_retrieve(*_weighted(spark, sf), M4, K4).select("s1_id", "cand_id", "rank_rev", "cosine"))
 
 
-@query("exact_cosine_pairs", duck("ent") + WEIGHTS + """near AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 3 = 0),
+@query("exact_cosine_pairs", duck("ent") + WEIGHTS + """near AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON b.doc_id = a.doc_id + 1),
     """ + COSINES + " SELECT n.s1_id, n.cand_id, round(coalesce(cosine, 0.0), 6) AS cosine FROM near n LEFT JOIN ex USING (s1_id, cand_id)")
 def exact_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     e = view(spark, sf, "ent").select("entity_id", "doc_id")
-    pairs = e.where("doc_id % 3 = 0").select(F.col("entity_id").alias("s1_id"), (F.col("doc_id") + 1).alias("doc_id")).join(e.withColumnRenamed("entity_id", "cand_id"), "doc_id").select("s1_id", "cand_id")
-    return rounded(C.exact_cosine(pairs, *_weighted(spark, sf)))
+    pairs = e.select(F.col("entity_id").alias("s1_id"), (F.col("doc_id") + 1).alias("doc_id")).join(e.withColumnRenamed("entity_id", "cand_id"), "doc_id").select("s1_id", "cand_id")
+    weights = stored(C.tfidf(_postings(spark, sf), *RARE), "weights")
+    return rounded(C.exact_cosine(pairs, weights, weights))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +331,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 ALIGNED = """, al AS (SELECT o_orderpriority AS country, o_orderstatus AS canonical, l_linestatus || l_returnflag AS variant FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 cn AS (SELECT country, variant, canonical, count(*) AS n FROM al GROUP BY 1, 2, 3),
 bs AS (SELECT *, n / sum(n) OVER (PARTITION BY country, variant) AS share, row_number() OVER (PARTITION BY country, variant ORDER BY n DESC, canonical) AS r FROM cn),
-own AS (SELECT country, canonical AS variant, canonical, count(*) AS n, 1.0 AS share FROM al GROUP BY 1, 2),
+own AS (SELECT country, canonical AS variant, canonical, count(*) AS n, 1.0 AS share FROM al GROUP BY 1, 2 HAVING count(*) >= 20),
 mp AS (SELECT * FROM own UNION ALL SELECT country, variant, canonical, n, share FROM bs WHERE r = 1 AND n >= 20 AND share >= 0.3 AND (country, variant) NOT IN (SELECT (country, variant) FROM own))"""
 
 
@@ -406,14 +408,14 @@ def gt_explode(spark: SparkSession, sf: str) -> DataFrame:
     return tables.truth_long(_lists(spark, sf))
 
 
-@query("referential_checks", duck("gt_long") + """, p AS (SELECT * FROM gt_long WHERE match_id IS NOT NULL), s AS (SELECT 'S1-' || c_custkey AS s1_id FROM customer WHERE c_custkey % 7 <> 0), m AS (SELECT 'S' || (2 + o_orderkey % 2) || '-' || o_orderkey AS match_id FROM orders WHERE o_orderkey % 5 <> 0)
+@query("referential_checks", duck("gt_long") + """, p AS (SELECT * FROM gt_long WHERE match_id IS NOT NULL), s AS (SELECT 'S1-' || c_custkey AS s1_id FROM customer), m AS (SELECT 'S' || (2 + o_orderkey % 2) || '-' || o_orderkey AS match_id FROM orders)
     SELECT 'unknown_s1' AS finding, count(*) AS n FROM (SELECT DISTINCT s1_id FROM gt_long) WHERE s1_id NOT IN (SELECT s1_id FROM s) UNION ALL SELECT 'missing_s1', count(*) FROM s WHERE s1_id NOT IN (SELECT s1_id FROM gt_long)
     UNION ALL SELECT 'unknown_match', count(*) FROM p WHERE match_id NOT IN (SELECT match_id FROM m) UNION ALL SELECT 'duplicate_pairs', count(*) FROM (SELECT 1 FROM p GROUP BY s1_id, match_id HAVING count(*) > 1)
     UNION ALL SELECT 'match_in_several', count(*) FROM (SELECT match_id FROM p GROUP BY 1 HAVING count(DISTINCT s1_id) > 1) UNION ALL SELECT 'malformed', count(*) FROM gt_long WHERE NOT regexp_matches(s1_id, '^S[123]-\\d+$') OR NOT regexp_matches(coalesce(match_id, 'S1-1'), '^S[123]-\\d+$')
     UNION ALL SELECT 'matches_s1', count(*) FROM p WHERE match_id LIKE 'S1-%'""")
 def referential_checks(spark: SparkSession, sf: str) -> DataFrame:
-    s1 = table(spark, sf, "customer").where("c_custkey % 7 <> 0").selectExpr("concat('S1-', c_custkey) AS s1_id")
-    pool = table(spark, sf, "orders").where("o_orderkey % 5 <> 0").selectExpr("concat('S', 2 + o_orderkey % 2, '-', o_orderkey) AS match_id")
+    s1 = table(spark, sf, "customer").selectExpr("concat('S1-', c_custkey) AS s1_id")
+    pool = table(spark, sf, "orders").selectExpr("concat('S', 2 + o_orderkey % 2, '-', o_orderkey) AS match_id")
     return quality.referential_checks(view(spark, sf, "gt_long"), s1, pool)
 
 
@@ -497,11 +499,9 @@ LADDER = f"""SELECT round(avg(CAST(a = b AS INT)), 6) AS exact, round(avg(CAST(l
     FROM (SELECT a, b, {NORM.format('a')} AS x, {NORM.format('b')} AS y FROM tp)"""
 
 
-@query("agreement_ladder", duck("ent") + ", tp AS (SELECT a.name AS a, b.name AS b FROM ent a JOIN ent b ON left(a.name, 12) = left(b.name, 12) AND a.doc_id < b.doc_id) " + LADDER)
+@query("agreement_ladder", duck("ent") + PARTNERS + ", tp AS (SELECT a, b FROM pr) " + LADDER)
 def agreement_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    e = view(spark, sf, "ent").select("doc_id", "name", F.substring("name", 1, 12).alias("k"))
-    pairs = e.select(F.col("doc_id").alias("da"), F.col("name").alias("a"), "k").join(e.select(F.col("doc_id").alias("db"), F.col("name").alias("b"), "k"), "k").where("da < db")
-    return rounded(profile.agreement_ladder(pairs, "a", "b"))
+    return rounded(profile.agreement_ladder(_partners(spark, sf), "a", "b"))
 
 
 @query("numbers_and_postal", """WITH t AS (SELECT doc_id, text, CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'France' ELSE 'India' END AS country FROM documents)
@@ -535,15 +535,15 @@ def rate_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(profile.rate_gaps(_rates(spark, sf), "country", "is_true", ["high_p1", "in_p3", "top1"]))
 
 
-@query("top_tokens", duck("ent") + ", c AS (SELECT country, token, count(*) AS n FROM (SELECT country, unnest(string_split(name, ' ')) AS token FROM ent) GROUP BY 1, 2) SELECT country, token, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, token) AS r FROM c) WHERE r <= 10")
+@query("top_tokens", duck("ent") + ", c AS (SELECT country, token, count(*) AS n FROM (SELECT country, unnest(string_split(name || ' ' || address, ' ')) AS token FROM ent) WHERE token <> '' GROUP BY 1, 2) SELECT country, token, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, token) AS r FROM c) WHERE r <= 10")
 def top_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return profile.top_tokens(view(spark, sf, "ent"), "country", F.split("name", " "), 10)
+    return profile.top_tokens(view(spark, sf, "ent"), "country", F.filter(F.split(F.concat_ws(" ", "name", "address"), " "), lambda t: t != ""), 10)
 
 
-@query("vocab_overlap", duck("ent") + """, t AS (SELECT doc_id, unnest(string_split(name, ' ')) AS token FROM ent), c AS (SELECT token, count(*) AS n FROM t WHERE doc_id % 2 = 1 GROUP BY 1), s AS (SELECT n, token IN (SELECT token FROM t WHERE doc_id % 2 = 0) AS seen FROM c)
+@query("vocab_overlap", duck("ent") + """, t AS (SELECT * FROM (SELECT doc_id, unnest(string_split(name || ' ' || address, ' ')) AS token FROM ent) WHERE token <> ''), c AS (SELECT token, count(*) AS n FROM t WHERE doc_id % 2 = 1 GROUP BY 1), s AS (SELECT n, token IN (SELECT token FROM t WHERE doc_id % 2 = 0) AS seen FROM c)
     SELECT count(*) AS types, round(avg(CAST(seen AS INT)), 6) AS type_share, round(sum(CASE WHEN seen THEN n ELSE 0 END) / sum(n), 6) AS occurrence_share FROM s""")
 def vocab_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    t = view(spark, sf, "ent").select("doc_id", F.explode(F.split("name", " ")).alias("token"))
+    t = view(spark, sf, "ent").select("doc_id", F.explode(F.split(F.concat_ws(" ", "name", "address"), " ")).alias("token")).where("token <> ''")
     return rounded(profile.vocab_overlap(t.where("doc_id % 2 = 0"), t.where("doc_id % 2 = 1")))
 
 
@@ -604,36 +604,35 @@ def _raw(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "ent").select("entity_id", "doc_id", "country", F.col("name").alias("business_name"), F.col("address").alias("business_address"))
 
 
+def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_addresses(cleaning.clean_names(_raw(spark, sf)))
+
+
+def _doc_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """Stands for known matches of records: queries and the record of the next number, of the same language."""
+    e = view(spark, sf, "ent").select("entity_id", "doc_id", "country")
+    mine = e.where(F.startswith("entity_id", F.lit("S1-"))).select(F.col("entity_id").alias("s1_id"), (F.col("doc_id") + 1).alias("doc_id"), "country")
+    return mine.join(e.withColumnRenamed("entity_id", "cand_id"), ["doc_id", "country"]).select("s1_id", "cand_id", "country")
+
+
 def _entities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Cleaned records with how many of their country's queries share their name: queries and pool."""
-    clean = cleaning.clean_addresses(cleaning.clean_names(_raw(spark, sf))).withColumn("addr_state_canon", F.col("addr_state_raw"))
+    clean = evaluation.learned_states(stored(_cleaned(spark, sf), "cleaned"), _doc_truth(spark, sf), 20, 0.5)
     s1, pool = clean.where(F.startswith("entity_id", F.lit("S1-"))), clean.where(~F.startswith("entity_id", F.lit("S1-")))
     chains = s1.groupBy("country", "name_core").agg(F.count(F.lit(1)).alias("chain_n"))
     columns = ["entity_id", "country", *features.ENTITY]
     return s1.join(chains, ["country", "name_core"], "left").select(*columns), pool.join(chains, ["country", "name_core"], "left").select(*columns)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` computed once, below ``spark.checkpoint.dir`` where the cluster names it; the passes read it several times."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+def _blocked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The candidate table of all four passes, queries and pool."""
+    s1, pool = (stored(df, "records") for df in _entities(spark, sf))
+    return evaluation.block(s1, pool), s1, pool
 
 
 def _featured(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates of all four passes with their features: rare n-grams of the whole record from either side and of the name, address keys."""
-    s1, pool = map(_kept, _entities(spark, sf))
-    q, p = map(_kept, _weighted(spark, sf))
-    both = _kept(C.tfidf(C.char_ngrams(s1.unionByName(pool), C.name_text()), *RARE))
-    asks = F.startswith("entity_id", F.lit("S1-"))
-    qn, pn = both.where(asks), both.where(~asks)
-    keys = lambda df: C.p3_keys(df.select("entity_id", "country", F.col("addr_core").alias("name"), F.col("addr_house_number").alias("house"), F.col("addr_state_canon").alias("state")))
-    pairs = C.candidate_union(
-        C.retrieve(q, p, M1, K1).withColumnRenamed("rank", "p1_rank"), C.retrieve(qn, pn, M2, K2).withColumnRenamed("rank", "p2_rank"),
-        C.p3_key_join(keys(s1), keys(pool), P3_BLOCK), C.reverse_retrieve(q, p, M4, K4).withColumnRenamed("rank_rev", "p1_rank_rev"),
-    )
-    pairs = C.exact_cosine(_kept(pairs), q, p).withColumnRenamed("cosine", "p1_cos")
-    chosen = _kept(C.select_k(pairs, K1, K2, K4, P4_CAP))
-    filled = C.exact_cosine(chosen, qn, pn).withColumnRenamed("cosine", "p2_cos")
-    return features.pair_features(filled.join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id"), s1, pool)
+    """Candidates of all four passes with their features."""
+    return features.pair_features(*_blocked(spark, sf))
 
 
 @query("unicode_fold")
@@ -653,11 +652,10 @@ def clean_addresses(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("entity_id", "addr_clean", "addr_std", "addr_core", "addr_house_number", "addr_unit", "addr_landmark", "addr_state_raw", F.array_join("addr_numbers", ",").alias("addr_numbers"))
 
 
-@query("jaro_winkler", duck("ent") + PARTNERS + f" SELECT s1_id, cand_id, round(CAST(jaro_winkler_similarity(regexp_replace({BASIC.format('a')}, '[^\\x00-\\x7F]', '', 'g'), regexp_replace({BASIC.format('b')}, '[^\\x00-\\x7F]', '', 'g')) AS DOUBLE), 4) AS jw FROM pr")
+@query("jaro_winkler")
 def jaro_winkler(spark: SparkSession, sf: str) -> DataFrame:
-    """On the ASCII characters, as the oracle compares bytes."""
-    ascii_ = lambda c: F.regexp_replace(T.basic_norm(F.col(c)), r"[^\x00-\x7F]", "")
-    sims = similarity.name_similarities(ascii_("a"), ascii_("b"))
+    """No SQL: DuckDB's function compares bytes, not characters."""
+    sims = similarity.name_similarities(T.basic_norm(F.col("a")), T.basic_norm(F.col("b")))
     return _partners(spark, sf).withColumn("x", sims).select("s1_id", "cand_id", F.round(F.col("x.jw").cast("double"), 4).alias("jw"))
 
 
@@ -701,12 +699,169 @@ def pair_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gbdt_scores")
 def gbdt_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A small booster on the labels table: which documents are of quality, from a few measures of their text."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    """A booster learned from the labels table: which of all documents are of quality, from a few measures of their text."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     text = F.coalesce("text", F.lit(""))
     rows = d.select(F.col("doc_id").cast("string").alias("s1_id"), F.lit("").alias("cand_id"), F.col("quality").alias("label"), F.length(text).alias("chars"), F.size(F.split(text, " ")).alias("words"),
                     F.size(F.array_distinct(F.split(text, " "))).alias("types"), F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("symbols"), F.size(F.split(text, "\n")).alias("lines"))
     columns = ["chars", "words", "types", "symbols", "lines"]
     held = sampling.is_validation(F.col("s1_id"))
-    fitted = model.train(rows.where(~held), columns, trees=5, depth=3)
+    fitted = model.train(rows.where(~held & F.col("label").isNotNull()), columns)
     return rounded(model.score(fitted, rows, columns, ["s1_id"]))
+
+
+# ------------------------------------------------------------------------------------------------ order, reports, files
+
+
+@query("row_chunks", "SELECT c_custkey, CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 64) AS BIGINT) AS chunk FROM customer")
+def row_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return ordering.chunks(table(spark, sf, "customer").select("c_custkey"), ["c_custkey"], 64)
+
+
+@query("keep_first", "SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, min(o_orderdate) AS o_orderdate FROM orders GROUP BY 1")
+def keep_first(spark: SparkSession, sf: str) -> DataFrame:
+    return ordering.keep_first(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@query("sample_per_group", "SELECT c_mktsegment, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('hard:' || c_custkey), c_custkey) AS r FROM customer) WHERE r <= 5")
+def sample_per_group(spark: SparkSession, sf: str) -> DataFrame:
+    return ordering.sample_per_group(table(spark, sf, "customer").select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 5, "hard")
+
+
+@query("merged_top", duck("pairs") + "SELECT s1_id, cand_id, p1_cos, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p1_cos DESC, cand_id) AS r FROM pairs) WHERE r <= 3")
+def merged_top(spark: SparkSession, sf: str) -> DataFrame:
+    p = stored(view(spark, sf, "pairs").select("s1_id", "cand_id", "p1_cos"), "pairs")
+    return ordering.merged_top([p.where(F.pmod(F.crc32("cand_id"), F.lit(4)) == i) for i in range(4)], "s1_id", "cand_id", "p1_cos", 3)
+
+
+@query("match_positions", duck("pairs", "truth") + """SELECT t.s1_id, t.cand_id, CAST(r AS INTEGER) AS position FROM truth t
+    LEFT JOIN (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS r FROM pairs) p ON p.s1_id = t.s1_id AND p.cand_id = t.cand_id""")
+def match_positions(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("prob")).alias("p"), F.col("cand_id").alias("c"))))
+    lists = view(spark, sf, "pairs").groupBy("s1_id").agg(ranked.alias("l")).select("s1_id", F.col("l.c").alias("ids"))
+    return ordering.positions(lists, view(spark, sf, "truth").select("s1_id", "cand_id"))
+
+
+@query("example_rows", "SELECT o_orderkey AS place, c_custkey, c_name FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def example_rows(spark: SparkSession, sf: str) -> DataFrame:
+    wanted = table(spark, sf, "orders").select(F.col("o_orderkey").alias("place"), F.col("o_custkey").alias("c_custkey"))
+    return ordering.gathered(table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", wanted)
+
+
+@query("crosstab_share", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus), 6) AS share FROM orders GROUP BY 1, 2")
+def crosstab_share(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.crosstab(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority"))
+
+
+@query("label_spellings", "SELECT source, count(DISTINCT lang) AS raw, count(DISTINCT lower(trim(lang))) AS normalised FROM documents GROUP BY 1")
+def label_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.spellings(table(spark, sf, "documents"), "source", F.col("lang"))
+
+
+@query("transposed", duck("pairs") + RATES + """ SELECT country, 'high_p1' AS measure, round(high_p1, 6) AS "value" FROM rt WHERE is_true UNION ALL SELECT country, 'in_p3', round(in_p3, 6) FROM rt WHERE is_true UNION ALL SELECT country, 'top1', round(top1, 6) FROM rt WHERE is_true""")
+def transposed(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.transposed(_rates(spark, sf).where("is_true"), "country", ["high_p1", "in_p3", "top1"]))
+
+
+@query("blocking_report", duck("pairs", "truth", "asked") + ", " + SELECTED + """, e AS (SELECT t.s1_id, count(*) AS n, count(s.cand_id) AS k FROM truth t LEFT JOIN sel s ON s.s1_id = t.s1_id AND s.cand_id = t.cand_id GROUP BY 1),
+    q AS (SELECT q.s1_id, count(s.cand_id) AS n FROM asked q LEFT JOIN sel s USING (s1_id) GROUP BY 1)
+    SELECT * FROM (SELECT CAST(sum(n) AS BIGINT) AS true_pairs, round(sum(k) / sum(n), 6) AS pair_recall, count(*) AS entities, round(avg(CASE WHEN n = k THEN 1.0 ELSE 0.0 END), 6) AS all_found_recall FROM e),
+    (SELECT CAST(sum(n) AS BIGINT) AS pairs, round(avg(n), 6) AS mean, CAST(quantile_disc(n, 0.5) AS BIGINT) AS p50, CAST(quantile_disc(n, 0.95) AS BIGINT) AS p95, max(n) AS max FROM q)""")
+def blocking_report(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluation.blocking_report(_selected(spark, sf), view(spark, sf, "asked"), view(spark, sf, "truth")))
+
+
+@query("key_collisions", "WITH l AS (SELECT o_orderstatus AS country, o_orderpriority AS key, count(*) AS a FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), r AS (SELECT o_orderstatus AS country, o_orderpriority AS key, count(*) AS b FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1, 2) SELECT country, count(*) AS keys, CAST(sum(a * b) AS BIGINT) AS pairs FROM l JOIN r USING (country, key) GROUP BY 1")
+def key_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Even orders against odd ones, as two sources."""
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("country"), F.col("o_orderpriority").alias("key"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    return reports.collisions(o.where("even"), o.where("NOT even"))
+
+
+@query("group_slopes", "SELECT event_type, round(regr_slope(value, user_id), 6) AS slope, count(*) AS n FROM events GROUP BY 1")
+def group_slopes(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(reports.slopes(table(spark, sf, "events"), "event_type", "user_id", "value"))
+
+
+@query("id_range", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 99 AND o_totalprice >= 1000 AND o_totalprice < 100000")
+def id_range(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").where(F.col("o_custkey").between(10, 99) & (F.col("o_totalprice") >= 1000) & (F.col("o_totalprice") < 100000)).select("o_orderkey", "o_custkey")
+
+
+@query("replaced_text", "SELECT doc_id, replace(replace(replace(coalesce(text, ''), 'th', 'ss'), 'en', 'e'), '.', '') AS many, regexp_replace(coalesce(text, ''), '[aeiou]+', '_') AS \"first\" FROM documents")
+def replaced_text(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", T.replace_many(text, {"th": "ss", "en": "e", ".": ""}).alias("many"), T.replace_first(text, "[aeiou]+", "_").alias("first"))
+
+
+@query("saturated_grams", duck("ent") + POSTINGS + " SELECT entity_id, country, CAST(sum(least(tf, 3)) AS BIGINT) AS capped, CAST(sum(tf) AS BIGINT) AS total FROM post GROUP BY 1, 2")
+def saturated_grams(spark: SparkSession, sf: str) -> DataFrame:
+    return _postings(spark, sf).groupBy("entity_id", "country").agg(F.sum(F.least("tf", F.lit(3))).alias("capped"), F.sum("tf").alias("total"))
+
+
+@query("pair_hash", duck("truth") + "SELECT country, bit_xor(xor(('0x' || substr(md5(s1_id), 1, 15))::BIGINT, ('0x' || substr(md5(cand_id), 1, 15))::BIGINT)) AS h FROM truth GROUP BY 1")
+def pair_hash(spark: SparkSession, sf: str) -> DataFrame:
+    number = lambda c: F.conv(F.substring(F.md5(F.col(c).cast("binary")), 1, 15), 16, 10).cast("long")
+    return view(spark, sf, "truth").groupBy("country").agg(F.bit_xor(number("s1_id").bitwiseXOR(number("cand_id"))).alias("h"))
+
+
+@query("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS \"rows\" FROM {t}" for t in ("customer", "documents", "lineitem", "orders")))
+def row_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return files.row_counts(spark, {t: f"{sf}/{t}.parquet" for t in ("customer", "documents", "lineitem", "orders")})
+
+
+@query("rows_with_ids", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def rows_with_ids(spark: SparkSession, sf: str) -> DataFrame:
+    ids = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return files.rows_with(spark, f"{sf}/orders.parquet", "o_custkey", ids).select("o_orderkey", "o_totalprice")
+
+
+# ------------------------------------------------------------------------------------------------ runs
+
+
+@query("blocking_run")
+def blocking_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All four passes on cleaned records: every candidate with its ranks, flags and both cosines."""
+    return rounded(_blocked(spark, sf)[0])
+
+
+@query("exact_recall")
+def exact_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """What the cap on a gram's frequency loses: recall of the nearest 50 by rare grams against those by all grams, for all queries."""
+    return rounded(evaluation.exact_check(*_weighted(spark, sf), M1, K1))
+
+
+@query("pool_experiment")
+def pool_experiment(spark: SparkSession, sf: str) -> DataFrame:
+    e = view(spark, sf, "ent")
+    return rounded(evaluation.pool_experiment(e, F.concat_ws(" ", "name", "address"), _doc_truth(spark, sf), [500, 810, 1000], M1, K1))
+
+
+@query("state_alignment")
+def state_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.learn_mapping(evaluation.aligned_states(_doc_truth(spark, sf), stored(_cleaned(spark, sf), "cleaned")), 1, 0.5)
+
+
+@query("cleaning_evaluation")
+def cleaning_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Records without a name are one chain, and so negatives of one another; every query meets five at most."""
+    clean = stored(_cleaned(spark, sf), "cleaned")
+    s1, pool = evaluation.sides(clean)
+    truth = _doc_truth(spark, sf)
+    return rounded(evaluation.cleaning_evaluation(truth, evaluation.hard_negatives(s1, pool, truth), clean))
+
+
+@query("matcher_scores")
+def matcher_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A booster learned on the features of the training queries' candidates scores all candidates."""
+    rows = stored(model.labelled(_featured(spark, sf), _doc_truth(spark, sf)), "features")
+    columns = [c for c, kind in rows.dtypes if c not in ("s1_id", "cand_id", "country", "label")]
+    fitted = model.train(rows.where(~sampling.is_validation(F.col("s1_id"))), columns, trees=10, depth=4)
+    return rounded(model.score(fitted, rows, columns, ["s1_id", "cand_id"]))
+
+
+@query("cross_country")
+def cross_country(spark: SparkSession, sf: str) -> DataFrame:
+    """On the scored pairs of the star schema: learned where orders have one priority, applied to another."""
+    p = view(spark, sf, "pairs").select("s1_id", "cand_id", "country", "p1_cos", "p2_cos", "prob", F.col("is_true").cast("int").alias("label"))
+    return rounded(evaluation.cross_country(stored(p, "pairs"), ["p1_cos", "p2_cos", "prob"], ["1-URGENT", "5-LOW"], view(spark, sf, "asked"), view(spark, sf, "truth"), trees=5, depth=3))

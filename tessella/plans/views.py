@@ -1,6 +1,6 @@
 """Record-linkage views over the driver's star schema, in SQL that Spark and DuckDB both read.
 
-ent: documents as business records. pairs: lineitem as scored candidates with ranks and pass flags. truth and asked: true
+ent: documents as business records, the first six words as the name and all others as the address. pairs: lineitem as scored candidates with ranks and pass flags. truth and asked: true
 pairs and queries. gt: orders as comma lists of matches. chain: part as names with house number and state.
 """
 
@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Ranks beyond these are null, as beyond a pass's k.
-K1, K2, K4 = 4, 3, 5
+K1, K2, K4 = 50, 20, 10
 
 ENT = r"""
 SELECT concat('S', CAST(1 + doc_id % 3 AS STRING), '-', CAST(doc_id AS STRING)) AS entity_id, doc_id,
-       array_join(slice(ws, 1, 6), ' ') AS name, array_join(slice(ws, 7, 12), ' ') AS address, lang AS country
+       array_join(slice(ws, 1, 6), ' ') AS name, array_join(slice(ws, 7, greatest(size(ws) - 6, 0)), ' ') AS address, lang AS country
 FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+', 0) AS ws FROM documents)
 """
 PAIRS = f"""
@@ -64,7 +64,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _duck(sql: str) -> str:
     return (
         sql.replace("AS STRING", "AS VARCHAR").replace("'[^ \\\\t\\\\n\\\\r]+', 0", "'[^ \\t\\n\\r]+'")
-        .replace("array_join(slice(ws, 1, 6), ' ')", "array_to_string(ws[1:6], ' ')").replace("array_join(slice(ws, 7, 12), ' ')", "array_to_string(ws[7:18], ' ')")
+        .replace("array_join(slice(ws, 1, 6), ' ')", "array_to_string(ws[1:6], ' ')").replace("array_join(slice(ws, 7, greatest(size(ws) - 6, 0)), ' ')", "array_to_string(ws[7:], ' ')")
     )
 
 

@@ -59,15 +59,26 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     return df.sparkSession.read.parquet(path).count()
 
 
-def _file(spark: SparkSession, path: str):
+def opened(spark: SparkSession, path: str):
+    """The path and its file system, whatever kind it is, and the JVM."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs, _ = opened(spark, path)
+    return fs.exists(target)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    target, fs, _ = opened(spark, path)
+    fs.delete(target, True)
+
+
 def write_manifest(spark: SparkSession, path: str, facts: dict) -> None:
     """A JSON file beside a dataset, on whatever file system it is: written under another name, then renamed."""
-    target, fs, jvm = _file(spark, path)
+    target, fs, jvm = opened(spark, path)
     part = jvm.org.apache.hadoop.fs.Path(path + ".part")
     out = fs.create(part, True)
     out.write(bytearray(json.dumps(facts, sort_keys=True, indent=1).encode()))

