@@ -851,6 +851,11 @@ def cleaning_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(evaluation.cleaning_evaluation(truth, evaluation.hard_negatives(s1, pool, truth), clean))
 
 
+@query("cleaning_ablations")
+def cleaning_ablations(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(evaluation.ablations(cleaning_evaluation(spark, sf)))
+
+
 @query("matcher_scores")
 def matcher_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A booster learned on the features of the training queries' candidates scores all candidates."""

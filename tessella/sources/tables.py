@@ -99,10 +99,24 @@ def check_manifest(spark: SparkSession, path: str, **expected) -> None:
         raise ValueError(f"{path} doesn't fit (found, expected): {wrong}")
 
 
+#: Bytes up to which a file is read as one value of a row; larger ones are read as streams.
+ONE_VALUE = 1 << 30
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of the files below a folder."""
+    """(path, bytes, sha256) of the files below a folder.
+
+    Files of ordinary size are read by the executors; those above ONE_VALUE, which no row can hold, as streams by the driver's JVM.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= ONE_VALUE).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    found = []
+    for row in files.where(F.col("length") > ONE_VALUE).select("path", "length").collect():
+        target, fs, jvm = opened(spark, row.path)
+        stream = fs.open(target)
+        found.append((row.path, row.length, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        stream.close()
+    return small.unionByName(spark.createDataFrame(found, "path string, bytes long, sha256 string")) if found else small
 
 
 def compare_checksums(found: DataFrame, reference: DataFrame) -> DataFrame:

@@ -80,3 +80,11 @@ def test_order(spark):
     assert [(r.k, r["index"]) for r in ordering.row_index(df, ["k"]).collect() if r.k != r["index"]] == []
     assert ordering.row_index(df.limit(0), ["k"]).count() == 0
     assert reports.markdown(spark.createDataFrame([(1, None, 0.5)], "a int, b string, c double")) == "| a | b | c |\n|-|-|-|\n| 1 |  | 0.5000 |"
+
+
+def test_checksums_of_large_files(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        (tmp_path / f"f{k}").write_bytes(b"x" * (10 + k))
+    whole = sorted(map(tuple, tables.checksums(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(tables, "ONE_VALUE", 10)
+    assert sorted(map(tuple, tables.checksums(spark, str(tmp_path)).collect())) == whole and len(whole) == 3
