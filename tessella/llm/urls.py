@@ -118,9 +118,10 @@ def path_templates(paths: DataFrame, settings: TreeSettings = TreeSettings()) ->
         done.append(left.where(F.size("_segs") <= depth).select(columns))
         left = left.where(F.size("_segs") > depth)
         nodes = left.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_paths"), F.sum("_m").alias("_labels"))
-        placed = scratch.written(left.join(nodes, ["host", "template"]), "placed")
-        if placed.isEmpty():
+        nodes = scratch.written(nodes, "nodes")
+        if nodes.isEmpty():
             break
+        placed = scratch.written(left.join(_offered(nodes), ["host", "template"]), "placed")
         rest = F.slice("_segs", depth + 1, F.size("_segs") - depth)
         single = placed.where("_paths = 1").withColumn("template", F.concat("template", F.lit("/"), F.array_join(rest, "/")))
         done.append(single.select(columns))
@@ -129,6 +130,11 @@ def path_templates(paths: DataFrame, settings: TreeSettings = TreeSettings()) ->
     return reduce(DataFrame.unionByName, done)
 
 
+def _offered(nodes: DataFrame) -> DataFrame:
+    """A written table of nodes or branches, to be broadcast if it is small: then the paths of a host needn't meet in one task."""
+    return F.broadcast(nodes) if is_small(nodes) else nodes
+
+
 def _unlabelled(left: DataFrame, depth: int) -> DataFrame:
     """``template`` extended by all segments from ``depth`` on, for nodes without labels: the segment that all their paths have there, or the wildcard."""
     at = left.select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.posexplode(F.slice("_segs", depth + 1, F.size("_segs") - depth)).alias("_i", "_seg"))
@@ -143,13 +149,14 @@ def _unlabelled(left: DataFrame, depth: int) -> DataFrame:
 def _generalised(left: DataFrame, depth: int, settings: TreeSettings) -> DataFrame:
     """``template`` extended by the segment at ``depth``: itself if it stays a branch, else the wildcard."""
     at = left.withColumn("_seg", F.get("_segs", F.lit(depth)))
-    kids = at.groupBy("host", "template", "_seg").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_m").alias("_m"))
+    kids = scratch.written(at.groupBy("host", "template", "_seg").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"), F.sum("_m").alias("_m")), "kids")
     parents = kids.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_kids"), F.sum("_n").alias("_pn"), F.sum("_k").alias("_pk"), F.sum("_m").alias("_pm"))
     share = (F.coalesce(F.col("_pk"), F.lit(0)) + 1) / (F.col("_pm") + 2)
     variable = (F.col("_kids") > settings.min_children) & (F.col("_n") < settings.max_child_share * F.col("_pn"))
     error = F.sqrt(share * (1 - share) / F.greatest(F.col("_m"), F.lit(1)))
     alike = (F.col("_m") == 0) | (F.abs(F.try_divide(F.col("_k").cast("double"), F.col("_m")) - share) <= settings.z * error)
-    branches = kids.join(parents, ["host", "template"]).where(~variable & (~alike | (F.col("_kids") == 1)))
+    branches = kids.join(_offered(scratch.written(parents, "parents")), ["host", "template"]).where(~variable & (~alike | (F.col("_kids") == 1)))
     # at most max(min_children, 1 / max_child_share) branches a node
-    joined = at.join(branches.select("host", "template", "_seg", F.col("_seg").alias("_s")), ["host", "template", "_seg"], "left")
+    branches = scratch.written(branches.select("host", "template", "_seg", F.col("_seg").alias("_s")), "branches")
+    joined = at.join(_offered(branches), ["host", "template", "_seg"], "left")
     return joined.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("_s", F.lit("*")))).drop("_seg", "_s")
