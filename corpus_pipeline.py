@@ -17,30 +17,49 @@ LEAST_SCORE = 0.1
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose source isn't rejected."""
+    """Documents that pass the base rules and whose source isn't rejected.
+
+    Null, empty and blank texts fail; a null source is a source of its own; repeated rows are judged alike and kept each;
+    an empty table gives an empty one; all columns are carried in one structure, so their names can't clash.
+    """
     judged = quality.host_quality(docs, keep=docs.columns)
     return judged.where("kept").select("row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; profiles are learned from those whose language is given."""
+    """Documents in which a language is recognised; profiles are learned from those whose language is given.
+
+    Null, empty and letterless texts go; ties go to the language first in code point order, repeated rows are kept each; without
+    any known language, as on an empty table, nothing is recognised. A column named _lang or _score would be replaced.
+    """
     found = langid.predict(docs, langid.fit(docs), lang_out="_lang", score_out="_score")
     return found.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word shingles at a similarity of 0.8 join."""
+    """One document of each group that links of five-word shingles at a similarity of 0.8 join.
+
+    The one with the smallest id stays; of repeated rows of that id, one. Documents without words and with null ids are in no group
+    and stay; an empty table gives an empty one.
+    """
     return paritysketch.one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture of sources takes it."""
+    """Each document as often as the mixture of sources takes it.
+
+    Null and blank texts have size 0 and go with their source's epochs; a null source is the last one; repeated rows are documents
+    of their own; an empty table gives an empty one; all columns are carried in one structure.
+    """
     mixed = mixing.mix(docs, keep=docs.columns).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with a digest of what they decode to."""
+    """The token ids of each document, with a digest of what they decode to.
+
+    Null and empty texts have no ids; null ids and repeated rows are kept, row for row; an empty table gives an empty one.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
     done = bpe.encode(docs, path, decoded_col="decoded")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

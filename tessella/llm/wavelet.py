@@ -245,7 +245,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
 
 def read_documents(files: DataFrame) -> DataFrame:
-    """For each document of the files: ``doc_id``, ``start`` (ids before it in all files), ``n_tokens`` and ``ids_crc32``, from the decoded planes."""
+    """For each document of the files: ``doc_id``, ``start`` (ids before it in all files), ``n_tokens`` and ``ids_crc32``, from the decoded planes.
+
+    Documents with null ids are rows too; a document without tokens but its end has length 1; no file, no row.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
