@@ -261,7 +261,7 @@ def p3_key_join(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ n-grams
 
-POSTINGS = """, words AS (SELECT entity_id, country, ' ' || unnest(regexp_extract_all(name || ' ' || address, '[^ \\t\\n\\r]+')) || ' ' AS w FROM ent),
+POSTINGS = """, words AS (SELECT entity_id, country, ' ' || unnest(regexp_extract_all(name || ' ' || address, '[^ \\t\\n\\r]+')) || ' ' AS w FROM rec),
 post AS (SELECT entity_id, country, gram, count(*) AS tf FROM (SELECT entity_id, country, substr(w, i, n) AS gram FROM (
     SELECT entity_id, country, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM words CROSS JOIN (SELECT unnest([3, 4, 5]) AS n) WHERE n <= length(w))) GROUP BY 1, 2, 3)"""
 WEIGHTS = POSTINGS + f""", nd AS (SELECT country, count(DISTINCT entity_id) AS n FROM post GROUP BY 1), df AS (SELECT country, gram, count(*) AS df FROM post GROUP BY 1, 2),
@@ -274,7 +274,7 @@ COSINES = "ex AS (SELECT n.s1_id, n.cand_id, sum(q.w * p.w) AS cosine FROM near
 
 
 def _postings(spark: SparkSession, sf: str) -> DataFrame:
-    return C.char_ngrams(view(spark, sf, "ent"), F.concat_ws(" ", "name", "address"))
+    return C.char_ngrams(view(spark, sf, "rec"), F.concat_ws(" ", "name", "address"))
 
 
 def _weighted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -283,37 +283,37 @@ def _weighted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return w.where(asks), w.where(~asks)
 
 
-@query("char_ngrams", duck("ent") + POSTINGS + " SELECT entity_id, country, gram, tf FROM post")
+@query("char_ngrams", duck("rec") + POSTINGS + " SELECT entity_id, country, gram, tf FROM post")
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return _postings(spark, sf)
 
 
-@query("gram_df", duck("ent") + POSTINGS + " SELECT country, gram, count(*) AS df FROM post GROUP BY 1, 2")
+@query("gram_df", duck("rec") + POSTINGS + " SELECT country, gram, count(*) AS df FROM post GROUP BY 1, 2")
 def gram_df(spark: SparkSession, sf: str) -> DataFrame:
     return C.gram_df(_postings(spark, sf))
 
 
-@query("tfidf_idf", duck("ent") + WEIGHTS[:-2] + " SELECT entity_id, country, gram, round(w, 6) AS w, rare FROM tw")
+@query("tfidf_idf", duck("rec") + WEIGHTS[:-2] + " SELECT entity_id, country, gram, round(w, 6) AS w, rare FROM tw")
 def tfidf_idf(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.tfidf(_postings(spark, sf), *RARE))
 
 
-@query("rare_gram_retrieval", duck("ent") + WEIGHTS + f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, cand_id) AS r FROM sc) WHERE r <= {M1}),
+@query("rare_gram_retrieval", duck("rec") + WEIGHTS + f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, cand_id) AS r FROM sc) WHERE r <= {M1}),
     """ + COSINES + f""" SELECT s1_id, cand_id, CAST(r AS INTEGER) AS rank, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(cosine, 9) DESC, cand_id) AS r FROM ex) WHERE r <= {K1}""")
 def rare_gram_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.retrieve(*_weighted(spark, sf), M1, K1).select("s1_id", "cand_id", "rank", "cosine"))
 
 
-@query("reverse_topk", duck("ent") + WEIGHTS + f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY round(score, 9) DESC, s1_id) AS r FROM sc) WHERE r <= {M4}),
+@query("reverse_topk", duck("rec") + WEIGHTS + f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY round(score, 9) DESC, s1_id) AS r FROM sc) WHERE r <= {M4}),
     """ + COSINES + f""" SELECT s1_id, cand_id, CAST(r AS INTEGER) AS rank_rev, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY round(cosine, 9) DESC, s1_id) AS r FROM ex) WHERE r <= {K4}""")
 def reverse_topk(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(C.reverse_retrieve(*_weighted(spark, sf), M4, K4).select("s1_id", "cand_id", "rank_rev", "cosine"))
 
 
-@query("exact_cosine_pairs", duck("ent") + WEIGHTS + """near AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON b.doc_id = a.doc_id + 1),
+@query("exact_cosine_pairs", duck("rec") + WEIGHTS + """near AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id FROM rec a JOIN rec b ON b.doc_id = a.doc_id + 1),
     """ + COSINES + " SELECT n.s1_id, n.cand_id, round(coalesce(cosine, 0.0), 6) AS cosine FROM near n LEFT JOIN ex USING (s1_id, cand_id)")
 def exact_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    e = view(spark, sf, "ent").select("entity_id", "doc_id")
+    e = view(spark, sf, "rec").select("entity_id", "doc_id")
     pairs = e.select(F.col("entity_id").alias("s1_id"), (F.col("doc_id") + 1).alias("doc_id")).join(e.withColumnRenamed("entity_id", "cand_id"), "doc_id").select("s1_id", "cand_id")
     weights = stored(C.tfidf(_postings(spark, sf), *RARE), "weights")
     return rounded(C.exact_cosine(pairs, weights, weights))
@@ -322,7 +322,7 @@ def exact_cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate lists by rare n-grams and exact cosine: one row for each query record."""
     found = C.retrieve(*_weighted(spark, sf), M1, K1)
-    asks = view(spark, sf, "ent").where(F.startswith("entity_id", F.lit("S1-"))).select(F.col("entity_id").alias("s1_id"))
+    asks = view(spark, sf, "rec").where(F.startswith("entity_id", F.lit("S1-"))).select(F.col("entity_id").alias("s1_id"))
     return tables.list_output(found, asks)
 
 
@@ -600,17 +600,17 @@ def key_rule(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ cleaning, features, model
 
 
-def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "ent").select("entity_id", "doc_id", "country", F.col("name").alias("business_name"), F.col("address").alias("business_address"))
+def _raw(spark: SparkSession, sf: str, name: str = "ent") -> DataFrame:
+    return view(spark, sf, name).select("entity_id", "doc_id", "country", F.col("name").alias("business_name"), F.col("address").alias("business_address"))
 
 
 def _cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    return cleaning.clean_addresses(cleaning.clean_names(_raw(spark, sf)))
+    return cleaning.clean_addresses(cleaning.clean_names(_raw(spark, sf, "rec")))
 
 
 def _doc_truth(spark: SparkSession, sf: str) -> DataFrame:
-    """Stands for known matches of records: queries and the record of the next number, of the same language."""
-    e = view(spark, sf, "ent").select("entity_id", "doc_id", "country")
+    """Stands for known matches of records: queries and the record of the next number, of the same country."""
+    e = view(spark, sf, "rec").select("entity_id", "doc_id", "country")
     mine = e.where(F.startswith("entity_id", F.lit("S1-"))).select(F.col("entity_id").alias("s1_id"), (F.col("doc_id") + 1).alias("doc_id"), "country")
     return mine.join(e.withColumnRenamed("entity_id", "cand_id"), ["doc_id", "country"]).select("s1_id", "cand_id", "country")
 
@@ -794,7 +794,7 @@ def replaced_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.replace_many(text, {"th": "ss", "en": "e", ".": ""}).alias("many"), T.replace_first(text, "[aeiou]+", "_").alias("first"))
 
 
-@query("saturated_grams", duck("ent") + POSTINGS + " SELECT entity_id, country, CAST(sum(least(tf, 3)) AS BIGINT) AS capped, CAST(sum(tf) AS BIGINT) AS total FROM post GROUP BY 1, 2")
+@query("saturated_grams", duck("rec") + POSTINGS + " SELECT entity_id, country, CAST(sum(least(tf, 3)) AS BIGINT) AS capped, CAST(sum(tf) AS BIGINT) AS total FROM post GROUP BY 1, 2")
 def saturated_grams(spark: SparkSession, sf: str) -> DataFrame:
     return _postings(spark, sf).groupBy("entity_id", "country").agg(F.sum(F.least("tf", F.lit(3))).alias("capped"), F.sum("tf").alias("total"))
 
@@ -833,7 +833,7 @@ def exact_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pool_experiment")
 def pool_experiment(spark: SparkSession, sf: str) -> DataFrame:
-    e = view(spark, sf, "ent")
+    e = view(spark, sf, "rec")
     return rounded(evaluation.pool_experiment(e, F.concat_ws(" ", "name", "address"), _doc_truth(spark, sf), [500, 810, 1000], M1, K1))
 
 

@@ -1,6 +1,7 @@
 """Record-linkage views over the driver's star schema, in SQL that Spark and DuckDB both read.
 
-ent: documents as business records, the first six words as the name and all others as the address. pairs: lineitem as scored candidates with ranks and pass flags. truth and asked: true
+ent: documents as business records, the first six words as the name and all others as the address. rec: turns of conversations,
+which have the length of business records, in the same way, for the queries that compare records. pairs: lineitem as scored candidates with ranks and pass flags. truth and asked: true
 pairs and queries. gt: orders as comma lists of matches. chain: part as names with house number and state.
 """
 
@@ -16,6 +17,12 @@ SELECT concat('S', CAST(1 + doc_id % 3 AS STRING), '-', CAST(doc_id AS STRING))
        array_join(slice(ws, 1, 6), ' ') AS name, array_join(slice(ws, 7, greatest(size(ws) - 6, 0)), ' ') AS address, lang AS country
 FROM (SELECT doc_id, lang, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+', 0) AS ws FROM documents)
 """
+REC = r"""
+SELECT concat('S', CAST(1 + (conv_id + turn) % 3 AS STRING), '-', CAST(conv_id * 1000 + turn AS STRING)) AS entity_id, conv_id * 1000 + turn AS doc_id,
+       array_join(slice(ws, 1, 6), ' ') AS name, array_join(slice(ws, 7, greatest(size(ws) - 6, 0)), ' ') AS address,
+       CASE CAST(floor(conv_id / 3) AS BIGINT) % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'India' ELSE 'France' END AS country
+FROM (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+', 0) AS ws FROM conversations)
+"""
 PAIRS = f"""
 SELECT s1_id, cand_id, prob, p1_cos, p2_cos, is_true, country,
        CASE WHEN r1 <= {K1} THEN CAST(r1 AS INT) END AS p1_rank, CASE WHEN r2 <= {K2} THEN CAST(r2 AS INT) END AS p2_rank,
@@ -41,8 +48,8 @@ SELECT concat('S1-', CAST(c_custkey AS STRING)) AS s1_id,
        CASE WHEN o_orderkey IS NOT NULL THEN concat('S', CAST(2 + o_orderkey % 2 AS STRING), '-', CAST(o_orderkey AS STRING)) END AS match_id
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey
 """
-ALL = {"ent": ENT, "pairs": PAIRS, "truth": TRUTH, "asked": ASKED, "chain": CHAIN, "gt_long": GT_LONG}
-TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark".split()
+ALL = {"ent": ENT, "rec": REC, "pairs": PAIRS, "truth": TRUTH, "asked": ASKED, "chain": CHAIN, "gt_long": GT_LONG}
+TABLES = "region nation customer supplier part orders lineitem events documents labels benchmark conversations".split()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ def partners_of(records):
 
 @pytest.fixture(scope="module")
 def partners(spark):
-    return partners_of([(r.entity_id, r.country, f"{r.name} {r.address}") for r in view(spark, SF, "ent").collect()])
+    return partners_of([(r.entity_id, r.country, f"{r.name} {r.address}") for r in view(spark, SF, "rec").collect()])
 
 
 def test_entry_lists_all_partners(spark, partners):

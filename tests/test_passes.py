@@ -17,9 +17,9 @@ def test_name_text(spark):
 def test_pair_features_runs_all_passes(spark, tmp_path):
     """25 records of a street share all their address grams, so names decide there; a house number gives keys."""
     name = lambda i: " ".join(f"{c}{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3}{'qrstuvwxyz'[i // 26] * 2}" for c in "kmnprt")
-    rows = [(3 * i, f"{name(i)} {i % 3 + 1} maple street", "en") for i in range(12)] + [(3 * i + 1, f"{name(i)} {i + 40} maple street", "en") for i in range(30)]
-    rows += [(3 * i + 2, f"{name(i + 60)} {i % 3 + 1} maple street", "en") for i in range(6)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(9 * i, 0, f"{name(i)} {i % 3 + 1} maple street") for i in range(12)] + [(9 * i + 1, 0, f"{name(i)} {i + 40} maple street") for i in range(30)]
+    rows += [(9 * i + 2, 0, f"{name(i + 60)} {i % 3 + 1} maple street") for i in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     s1, pool = catalogue._entities(spark, str(tmp_path))
     records = {r.entity_id: r for r in s1.unionByName(pool).withColumn("t", C.name_text()).collect()}
     cosine = brute_cosines({e: r.t for e, r in records.items()})
