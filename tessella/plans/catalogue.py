@@ -870,3 +870,7 @@ def cross_country(spark: SparkSession, sf: str) -> DataFrame:
     """On the scored pairs of the star schema: learned where orders have one priority, applied to another."""
     p = view(spark, sf, "pairs").select("s1_id", "cand_id", "country", "p1_cos", "p2_cos", "prob", F.col("is_true").cast("int").alias("label"))
     return rounded(evaluation.cross_country(stored(p, "pairs"), ["p1_cos", "p2_cos", "prob"], ["1-URGENT", "5-LOW"], view(spark, sf, "asked"), view(spark, sf, "truth"), trees=5, depth=3))
+
+
+#: Queries that are runs of many operators.
+RUNS = ["gbdt_scores", "exact_recall", "pool_experiment", "state_alignment", "cleaning_evaluation", "cleaning_ablations", "blocking_run", "pair_features", "cross_country", "matcher_scores"]
