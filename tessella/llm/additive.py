@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scratch
+from .workers import tidy
 
 EPSILON = float(np.finfo(np.float32).eps)
 
@@ -170,7 +171,7 @@ def build_index(vectors: DataFrame, id_col: str, vector_col: str, k: int = 20, s
     copy = F.row_number().over(W.partitionBy("h1", "h2", "vec_id").orderBy("vec_id"))
     place = F.dense_rank().over(W.partitionBy("h1", "h2").orderBy("vec_id"))
     distinct = rows.withColumn("_c", copy).where(F.col("_c") <= k).withColumn("_p", place).where(F.col("_p") <= k + 1)
-    return scratch.written(distinct.select("vec_id", "embedding").mapInArrow(run, index), "index"), rows, quantiser, most.d
+    return scratch.written(distinct.select("vec_id", "embedding").mapInArrow(tidy(run), index), "index"), rows, quantiser, most.d
 
 
 def search(index: DataFrame, queries: DataFrame, quantiser: Quantiser | None, dimensions: int, k: int = 20, settings: Settings = Settings()) -> DataFrame:

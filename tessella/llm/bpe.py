@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from . import textscan
 from .frequent import frequent_pretokens
+from .workers import tidy
 
 LEXICON_WORDS = 1 << 15
 #: Ids in a record batch that a worker hands on.
@@ -233,7 +234,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kinds = [rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]
     kinds += [T.StructField(decoded_col, T.StringType())] if decoded_col else []
     names = [k.name for k in kinds]
-    return rows.mapInArrow(run, T.StructType(kinds))
+    return rows.mapInArrow(tidy(run), T.StructType(kinds))
 
 
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,4 +283,4 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
                 texts = [t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))
+    return encoded.mapInArrow(tidy(run), T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))

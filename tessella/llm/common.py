@@ -14,6 +14,17 @@ SPACES = " \t\n\x0b\f\r"
 SMALL_ROWS = 200_000
 
 
+#: Rows that a Python worker gets at once: texts of some kB make batches of some MB, where Spark's own number makes tens of them.
+BATCH_ROWS = 1024
+BATCH_SETTING, _SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a batch of texts takes in the buffers of executors and workers, unless the session names a number itself."""
+    if spark.conf.get(BATCH_SETTING) == _SPARKS_OWN:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """Whether ``df``, a written table, has at most so many rows; one count of them."""
     return df.count() <= rows

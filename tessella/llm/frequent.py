@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .common import small_batches
+from .workers import tidy
 
 #: Distinct pre-tokens a worker counts before it forgets the rare ones, and those it reports for its part.
 HELD, REPORTED = 1 << 20, 1 << 14
@@ -99,9 +101,10 @@ def frequent_pretokens(docs: DataFrame, text_col: str, path: str, most: int) ->
         if counter.words:
             yield _summary(counter.words, counter.counts)
 
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, SUMMARY).withColumn("part", F.spark_partition_id())
-    merged = parts.repartition("part").select("words", "counts").mapInArrow(_merged, SUMMARY)
-    found = merged.repartition(GATHERED).mapInArrow(_merged, SUMMARY).collect()
+    small_batches(docs.sparkSession)
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(count), SUMMARY).withColumn("part", F.spark_partition_id())
+    merged = parts.repartition("part").select("words", "counts").mapInArrow(tidy(_merged), SUMMARY)
+    found = merged.repartition(GATHERED).mapInArrow(tidy(_merged), SUMMARY).collect()
     sums: dict[str, int] = {}
     for row in found:
         for word, n in zip(row.words, row.counts, strict=True):

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .common import small_batches
+from .workers import tidy
 
 #: Of the vectors; a multiple of 64.
 DIMENSIONS = 1024
@@ -236,6 +238,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
     * null texts, null languages, texts without a letter: not learned from; an empty table: no languages;
     * repeated rows: each counts; very long texts: whole; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     named = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).isNotNull().alias("t")).where("t AND lang IS NOT NULL")
     wanted = {r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
 
@@ -253,7 +256,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sums = rows.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
+    sums = rows.mapInArrow(tidy(run), "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
     sums = sums.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
     found = sorted((r.lang, [p.x for p in r.v]) for r in sums.collect())  # a row for each of the languages, at most ``most``
     found = [(lang, v) for lang, v in found if any(v)]
@@ -288,4 +291,4 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_ou
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*names, "lang", "score"])
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rows.schema, strict=True))
-    return rows.toDF(*names).mapInArrow(run, f"{kinds}, lang string, score double").toDF(*rows.columns, lang_out, score_out)
+    return rows.toDF(*names).mapInArrow(tidy(run), f"{kinds}, lang string, score double").toDF(*rows.columns, lang_out, score_out)

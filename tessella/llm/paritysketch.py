@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch, shingles, textscan
-from .common import is_small
+from .common import is_small, small_batches
 from .components import components
+from .workers import tidy
 
 #: Bits of a block. Blocks are sparse, so their width costs nothing and makes equal blocks of different sets rare.
 BLOCK_BITS = 1 << 16
@@ -198,7 +199,7 @@ def sets_table(docs: DataFrame, id_col: str, text_col: str, percent: int, seed:
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(blocks, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "check", "blocks"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n long, node long, check long, blocks binary")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema[0].dataType.simpleString()}, n long, node long, check long, blocks binary")
 
 
 def _entries(table: DataFrame, tasks: int) -> DataFrame:
@@ -234,7 +235,7 @@ def _entries(table: DataFrame, tasks: int) -> DataFrame:
         if held:
             yield handed()
 
-    return table.where("blocks IS NOT NULL").select("node", "blocks").mapInArrow(run, "route long, low binary, high binary, nodes binary")
+    return table.where("blocks IS NOT NULL").select("node", "blocks").mapInArrow(tidy(run), "route long, low binary, high binary, nodes binary")
 
 
 def _groups(entries: DataFrame, tasks: int) -> DataFrame:
@@ -290,7 +291,7 @@ def _groups(entries: DataFrame, tasks: int) -> DataFrame:
         if rows:
             yield made()
 
-    return entries.repartition(tasks, "route").mapInArrow(run, "g long, leader long, members array<long>, n long, first boolean")
+    return entries.repartition(tasks, "route").mapInArrow(tidy(run), "g long, leader long, members array<long>, n long, first boolean")
 
 
 def _with_leader(groups: DataFrame) -> DataFrame:
@@ -307,7 +308,7 @@ def _with_leader(groups: DataFrame) -> DataFrame:
             sums = np.bincount(inverse.ravel(), n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(sums)], ["u", "v", "n"])
 
-    return groups.select("leader", "members", "n").mapInArrow(run, "u long, v long, n long")
+    return groups.select("leader", "members", "n").mapInArrow(tidy(run), "u long, v long, n long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -333,9 +334,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     mine = lambda c, side: sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}"))
     both = pairs.select("u", "v").join(mine("u", "a"), "u").join(mine("v", "b"), "v")
     alike = both.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-    found = alike.select("u", "v", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(near, "u long, v long")
+    found = alike.select("u", "v", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(tidy(near), "u long, v long")
     whole = lambda c, out: sets.select(F.col("node").alias(c), F.col("hashes").alias(out))
-    return found.join(whole("u", "a"), "u").join(whole("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return found.join(whole("u", "a"), "u").join(whole("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(tidy(run), "u long, v long")
 
 
 def _sets_of(docs: DataFrame, chosen: DataFrame, text_col: str, id_col: str, seed: int) -> DataFrame:
@@ -355,7 +356,7 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, text_col: str, id_col: str, see
                 [pa.array(names[right]), pa.array([len(s) for s in found], pa.int64()), pa.array(list(map(sketch_of, found)), pa.binary()), pa.array(hashes, pa.binary())], ["node", "size", "sketch", "hashes"]
             )
 
-    return wanted.mapInArrow(run, "node long, size long, sketch binary, hashes binary").dropDuplicates(["node"])
+    return wanted.mapInArrow(tidy(run), "node long, size long, sketch binary, hashes binary").dropDuplicates(["node"])
 
 
 def _across(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -423,7 +424,7 @@ def _across(placed: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield found(pa.Table.from_batches(held).combine_chunks())
 
     rows = placed.select("g", "slice", "asks", "node", "root", "size", "sketch").repartition("g", "slice").sortWithinPartitions("g", "slice", "node")
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -470,6 +471,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     * repeated rows and equal texts: one node, kept row for row; an empty table: an empty result; very long texts: whole;
     * other columns are not read, so their names can't clash.
     """
+    small_batches(docs.sparkSession)
     for seed in itertools.count():
         table = scratch.written(sets_table(docs, id_col, text_col, percent, seed), "sets")
         named = table.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), (F.min("check") != F.max("check")).alias("clash"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import textscan
 from .frequent import frequent_pretokens
+from .workers import tidy
 
 FREQUENT = 1 << 16
 
@@ -79,4 +80,4 @@ def count_tokens(
 
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(count, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(count), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -21,6 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import scratch, textscan
+from .common import small_batches
+from .workers import tidy
 
 MAGIC, HEAD = b"WMX1", struct.Struct("<4sIQQ")
 BLOCK = 512
@@ -187,6 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     * very long texts: whole, a file ends after the document that fills it; an empty table: no file;
     * texts with the tokenizer's special strings are given to the library whole; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
@@ -239,7 +242,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if doc_ids:
             yield made()
 
-    files = rows.mapInArrow(encode, "part int, seq int, n_docs long, n_tokens long, file binary")
+    files = rows.mapInArrow(tidy(encode), "part int, seq int, n_docs long, n_tokens long, file binary")
     files.write.option("compression", "uncompressed").option("maxRecordsPerFile", 1).parquet(path)  # the files are compressed
     return docs.sparkSession.read.schema(files.schema).parquet(path)
 
@@ -262,7 +265,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                     ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    rows = files.select("part", "seq", "file").mapInArrow(decode, "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "seq", "file").mapInArrow(tidy(decode), "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     sizes = files.select("part", "seq", "n_tokens")
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(W.orderBy("part")).alias("_part"))  # a row for each part
