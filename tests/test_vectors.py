@@ -79,3 +79,16 @@ def test_little_is_shuffled(spark, name):
     before = shuffled(spark)
     catalogue.QUERIES[name](spark, SF).collect()
     assert shuffled(spark) - before < BOUNDED[name] * size
+
+
+def test_more_blocks_shuffle_no_more(spark, monkeypatch):
+    """A record that is met by every block of asking records isn't written once for each, nor are the frequencies."""
+    grams = catalogue._grams(spark, SF)
+    q, p = grams.sides()
+    columns, moved, found = ["s1_id", "cand_id", "rank_rev", "cosine"], [], []
+    for size in (4096, 8):
+        monkeypatch.setattr(vectors, "ASKING", size)
+        before = shuffled(spark)
+        found.append(rows(vectors.reverse_retrieve(grams, q, p, 100, 10), *columns))
+        moved.append(shuffled(spark) - before)
+    assert found[0] == found[1] and moved[1] < 1.5 * moved[0] + 100_000
