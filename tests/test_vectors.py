@@ -111,9 +111,24 @@ def test_cosines_move_no_texts(spark, monkeypatch):
 
 def test_ids_with_several_rows_among_many(spark, monkeypatch):
     """The same texts and weights whether few or many ids have several rows."""
-    found = [(f"S{1 + i % 2}-{i % 3}", "XYZ"[i // 6], f"star{i % 3} mill{i}") for i in range(14)] + [("S1-50", "X", "star0")]
+    found = [(f"S{1 + i % 2}-{i % 3}", "XXY"[i // 6], f"star{i % 3} mill{i}") for i in range(14)] + [("S1-50", "X", "star0")]
     records = spark.createDataFrame(found, "entity_id string, country string, t string")
     kept = lambda: sorted((r.entity_id, r.country, sorted(r.text.split()), sorted((x.country, *sorted(x.text.split())) for x in r.more)) for r in vectors.weigh(records, F.col("t")).texts.collect())
     few = kept()
     monkeypatch.setattr(vectors, "FEW", 0)
     assert few == kept() and len(few) == len({x[:2] for x in found}) < len(found)
+
+
+def test_pairs_of_one_row_ids_are_not_moved(spark):
+    """Ranks come from the worker that met all of a record's partners; cosines are added to pairs where they are read."""
+    grams = catalogue._grams(spark, SF)
+    pairs = vectors.retrieve(grams, *grams.sides(), 300, 50)
+    before = shuffled(spark)
+    n = pairs.count()
+    kept = vectors.written(pairs, "kept")
+    assert n and vectors.exact_cosine(grams, kept.drop("cosine"), *grams.sides()).join(kept.hint("broadcast"), ["s1_id", "cand_id"]).where("s1_id IS NOT NULL").count() == n
+    assert shuffled(spark) - before < 100_000
+    w = C.tfidf(C.char_ngrams(catalogue.view(spark, SF, "rec"), F.concat_ws(" ", "name", "address")))
+    asks = F.startswith("entity_id", F.lit("S1-"))
+    columns = ["s1_id", "cand_id", "rank", "cosine"]
+    assert rows(kept, *columns) == rows(C.retrieve(w.where(asks), w.where(~asks), 300, 50), *columns)
