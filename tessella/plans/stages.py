@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tessella.operators import cleaning, decision, evaluation, features, lookup, model, quality, sampling
 from tessella.operators import candidates as C
 from tessella.sources import files, tables
+from tessella.sources.stored import written
 
 SOURCES = (1, 2, 3)
 KEYS = ("s1_id", "cand_id", "country")
@@ -112,7 +113,8 @@ def block(run: Run, split: str) -> DataFrame:
 
 
 def make_features(run: Run, split: str) -> DataFrame:
-    return run.once(lambda: features.pair_features(run.read("candidates", split), *records(run, split)), asdict(run.blocking), "features", split)
+    kept = lambda: (written(df, "records", compression="zstd") for df in records(run, split))
+    return run.once(lambda: features.pair_features(run.read("candidates", split), *kept()), asdict(run.blocking), "features", split)
 
 
 def columns(df: DataFrame) -> list[str]:

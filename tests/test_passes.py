@@ -4,9 +4,14 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tessella.functions import similarity
 from tessella.operators import candidates as C
+from tessella.operators import features, vectors
 from tessella.plans import catalogue
 from test_linkage import brute_cosines
+from test_vectors import SF, shuffled
 
 
 def test_name_text(spark):
@@ -32,3 +37,48 @@ def test_pair_features_runs_all_passes(spark, tmp_path):
     for k, r in got.items():
         assert r.p2_cos == pytest.approx(cosine(*k), abs=1e-5), k
         assert r.in_p2 == (r.p2_rank <= 20) and r.n_passes == r.in_p1 + r.in_p2 + r.in_p3 + r.in_p4 > 0
+
+
+RECORD = "entity_id string, country string, name_core string, name_nospace string, name_domain_stem string, name_script string, legal_families array<string>, name_has_nonlatin boolean, addr_core string, addr_house_number string, addr_state_canon string, addr_numbers array<string>, chain_n long"
+CANDIDATE = "s1_id string, cand_id string, country string, in_p1 boolean, in_p2 boolean, in_p3 boolean, in_p4 boolean, p1_cos double, p2_cos double, p1_rank int, p2_rank int, p1_rank_rev int"
+
+
+def plain_features(pairs, s1, pool):
+    """By joins, column expressions and a function of two names."""
+    both = features.attach(pairs, s1, pool)
+    named = {c: F.udf(f, "float")("a_name_core", "b_name_core") for c, f in (("name_tsr", similarity.token_set_ratio), ("name_jw", similarity.jaro_winkler))}
+    made = {**named, **features.name_features(), **features.address_features(), **features.blocking_features()}
+    return both.select("s1_id", "cand_id", *[c.alias(n) for n, c in made.items()])
+
+
+def test_features_from_workers(spark, monkeypatch):
+    """Null, empty, short, repeated and wide texts, ids with several rows, ties and missing cosines, sets in many blocks."""
+    names = ["blue moon", "", None, "a", "ab", "abab abab", "été 東京都", "\U0001f600\U0001f601\U0001f600\U0001f601", "moon  blue ", "blue"]
+    streets = ["12 main street", None, "", " ", "x", "main main 12", "東京都庁 12", "12 main street 12 main street"]
+    record = lambda e, i: (e, "X", names[i % 10], "bluemoon" if i % 3 else None, "bluemoon" if i % 2 else None, "Latin" if i % 4 else None, [["SARL"], [], None, ["SAS", "SARL"]][i % 4], bool(i % 2), streets[i % 8], [None, "12", "1-2", "x"][i % 4], [None, "tx", "ca"][i % 3], [None, [], ["12", "12", "3"], ["3"]][i % 4], i % 3 or None)
+    s1 = spark.createDataFrame([record(f"S1-{i % 20}", i) for i in range(23)], RECORD)
+    pool = spark.createDataFrame([record(f"S{2 + i % 2}-{i % 38}", i * 7) for i in range(40)], RECORD)
+    found = {(f"S1-{i % 20}", f"S{2 + j % 2}-{j}") for i in range(20) for j in range(38) if (i * j) % 3}
+    cosine = lambda i: [None, 0.5, 0.25, 0.5, float("nan"), -0.0, 0.0, 0.75][i % 8]
+    pairs = spark.createDataFrame([(a, b, "X", bool(i % 2), bool(i % 3), None, True, cosine(i), cosine(i * 5 + 1), i % 4 or None, None, 1) for i, (a, b) in enumerate(sorted(found))], CANDIDATE)
+    monkeypatch.setattr(vectors, "TOLD", 50)
+    monkeypatch.setattr(features, "LETTERS", 40)
+    columns = plain_features(pairs, s1, pool).columns
+    rows = lambda df: sorted(map(repr, df.select(columns).collect()))
+    want = rows(plain_features(pairs, s1, pool))
+    assert len(want) > len(found) and rows(features.pair_features(pairs, s1, pool)) == want
+    kept = features.pair_features(pairs.withColumn("label", F.lit(3)), s1, pool, ["label"])
+    assert len(kept.columns) == 3 + 48 + 1 and kept.where("label = 3").count() == len(want)
+    none = features.pair_features(pairs.limit(0), s1, pool)
+    assert none.count() == 0 and none.columns == features.pair_features(pairs, s1, pool).columns
+    with pytest.raises(Exception, match="no record for pair"):
+        features.pair_features(pairs, s1.limit(0), pool).collect()
+
+
+def test_features_move_no_pairs(spark):
+    """Only counts are shuffled, where joins and windows took every pair with the sets of both sides."""
+    pairs, s1, pool = catalogue._blocked(spark, SF)
+    pairs = vectors.written(pairs, "pairs")
+    before = shuffled(spark)
+    assert len(features.pair_features(pairs, s1, pool).collect()) == pairs.count() > 10_000
+    assert shuffled(spark) - before < 100_000
