@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import similarity
 from tessella.operators import candidates as C
-from tessella.operators import features, vectors
+from tessella.operators import features, model, vectors
 from tessella.plans import catalogue
+from tessella.sources import stored
 from test_linkage import brute_cosines
 from test_vectors import SF, shuffled
 
@@ -39,6 +40,7 @@ def test_pair_features_runs_all_passes(spark, tmp_path):
         assert r.in_p2 == (r.p2_rank <= 20) and r.n_passes == r.in_p1 + r.in_p2 + r.in_p3 + r.in_p4 > 0
 
 
+SMALL = "/root/testdata/sf0.001"
 RECORD = "entity_id string, country string, name_core string, name_nospace string, name_domain_stem string, name_script string, legal_families array<string>, name_has_nonlatin boolean, addr_core string, addr_house_number string, addr_state_canon string, addr_numbers array<string>, chain_n long"
 CANDIDATE = "s1_id string, cand_id string, country string, in_p1 boolean, in_p2 boolean, in_p3 boolean, in_p4 boolean, p1_cos double, p2_cos double, p1_rank int, p2_rank int, p1_rank_rev int"
 
@@ -82,3 +84,44 @@ def test_features_move_no_pairs(spark):
     before = shuffled(spark)
     assert len(features.pair_features(pairs, s1, pool).collect()) == pairs.count() > 10_000
     assert shuffled(spark) - before < 100_000
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_labels_move_no_rows(spark, monkeypatch, few):
+    """Whatever Spark broadcasts by itself; with more true pairs than are broadcast the labels are the same."""
+    monkeypatch.setattr(model, "FEW", few)
+    rows = vectors.written(spark.range(5000).select(F.format_string("S1-%s", F.col("id") % 50).alias("s1_id"), F.format_string("S2-%s", "id").alias("cand_id"), F.sha2(F.col("id").cast("string"), 512).alias("x")), "rows")
+    truth = rows.where("cand_id LIKE '%7'").select("s1_id", "cand_id").unionByName(spark.createDataFrame([("S1-1", "S2-7777"), ("S1-7", "S2-7")], "s1_id string, cand_id string"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = model.labelled(rows, truth).collect()
+        assert not few or shuffled(spark) - before < 50_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert len(got) == 5000 and all(r.label == (r.cand_id[-1] == "7") for r in got)
+
+
+def test_tables_on_the_way_go(spark):
+    """Those of an inner call that still hold its result stay until the outer one is done."""
+    count = lambda: len(stored._written)
+    begun, seen = count(), []
+
+    def inner():
+        return stored.written(stored.written(spark.range(5), "a").where("id > 0"), "b").where("id > 1")
+
+    def outer():
+        df = stored.alone(inner, "c")
+        seen.extend([count() - begun, df.count()])
+        return df.where("id > 2")
+
+    df = stored.alone(outer, "d")
+    assert seen == [1, 3] and count() - begun == 1 and sorted(r.id for r in df.collect()) == [3, 4]
+    assert all(stored.remove(spark, path) is None for _, path in stored._written[begun:])
+
+
+def test_matcher_scores_every_candidate(spark):
+    pairs = sorted(tuple(r) for r in catalogue.blocking_run(spark, SMALL).select("s1_id", "cand_id").collect())
+    scores = catalogue.matcher_scores(spark, SMALL).collect()
+    assert pairs and sorted((r.s1_id, r.cand_id) for r in scores) == pairs and all(0 <= r.prob <= 1 for r in scores)
