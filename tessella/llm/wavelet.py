@@ -28,6 +28,10 @@ MAGIC, HEAD = b"WMX1", struct.Struct("<4sIQQ")
 BLOCK = 512
 #: A file is closed after the document with which it has so many tokens.
 FILE_TOKENS = 1 << 21
+#: Ids that are sorted by a bit at once: their places stay in a core's own cache.
+SPAN = 1 << 14
+#: Arrays below so many bytes come from the worker's heap; a plane's ids mapped anew at each step would cost more than the step.
+MAPPED = 1 << 23
 
 
 class WaveletMatrix:
@@ -39,12 +43,13 @@ class WaveletMatrix:
         values = np.asarray(ids)
         planes, counts, zeros = [], [], []
         for level in range(bits - 1, -1, -1):
-            one = (values >> level) & 1 == 1
+            one = (values >> level & 1).astype(bool)
             plane = _padded(np.packbits(one, bitorder="little"))
             planes.append(plane)
             counts.append(_running(plane))
-            values = np.concatenate([values[~one], values[one]])
             zeros.append(len(values) - int(counts[-1][-1]))
+            if level:
+                values = _sorted(values, one, zeros[-1])
         return cls(len(values), planes, counts, zeros)
 
     def _bit(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -124,12 +129,38 @@ class WaveletMatrix:
         out = np.zeros(self.n, np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            sorted_, out = out, np.empty_like(out)
-            out[~one] = sorted_[: self.zeros[level]]
-            out[one] = sorted_[self.zeros[level] :] | out.dtype.type(1 << (bits - 1 - level))
+            out[self.zeros[level] :] |= out.dtype.type(1 << (bits - 1 - level))
+            out = _unsorted(out, one, self.zeros[level])
         return out
 
 
+def _places(one: np.ndarray, zeros: int) -> Iterator[tuple[slice, np.ndarray, slice]]:
+    """For each span of a plane, its places with a zero and those with a one, and where they lie in the sorted order."""
+    at = [0, zeros]
+    for begin in range(0, len(one), SPAN):
+        span = slice(begin, begin + SPAN)
+        bit = one[span]
+        for k, places in enumerate((np.flatnonzero(~bit), np.flatnonzero(bit))):
+            yield span, places, slice(at[k], at[k] + len(places))
+            at[k] += len(places)
+
+
+def _sorted(values: np.ndarray, one: np.ndarray, zeros: int) -> np.ndarray:
+    """The values with a zero, ``zeros`` of them, then those with a one, each in their order."""
+    out = np.empty_like(values)
+    for span, places, to in _places(one, zeros):
+        values[span].take(places, out=out[to], mode="clip")  # no place is outside; other modes copy
+    return out
+
+
+def _unsorted(values: np.ndarray, one: np.ndarray, zeros: int) -> np.ndarray:
+    """What :func:`_sorted` made these values of."""
+    out = np.empty_like(values)
+    for span, places, at in _places(one, zeros):
+        out[span][places] = values[at]
+    return out
+
+
 def _padded(plane: np.ndarray) -> np.ndarray:
     return np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8) + BLOCK // 8, np.uint8)])
 
@@ -242,7 +273,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if doc_ids:
             yield made()
 
-    files = rows.mapInArrow(tidy(encode), "part int, seq int, n_docs long, n_tokens long, file binary")
+    files = rows.mapInArrow(tidy(encode, MAPPED), "part int, seq int, n_docs long, n_tokens long, file binary")
     files.write.option("compression", "uncompressed").option("maxRecordsPerFile", 1).parquet(path)  # the files are compressed
     return docs.sparkSession.read.schema(files.schema).parquet(path)
 
@@ -265,7 +296,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                     ["part", "seq", "doc_id", "inside", "n_tokens", "ids_crc32"],
                 )
 
-    rows = files.select("part", "seq", "file").mapInArrow(tidy(decode), "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "seq", "file").mapInArrow(tidy(decode, MAPPED), "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     sizes = files.select("part", "seq", "n_tokens")
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(W.orderBy("part")).alias("_part"))  # a row for each part
